@@ -53,7 +53,7 @@ class _Ids(dict):
         cut = []
         for t in new:
             body = t.rstrip(_SIGNS)
-            cut.append((body, t[len(body) :]) if body and body[-1].isalpha() else (t, ""))
+            cut.append((body, t[len(body) :]) if body and body[-1].lower()[-1].isalpha() else (t, ""))
         fresh = list({x for pair in cut for x in pair if x and x not in self.bodies})
         for x, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
             self.bodies[x] = np.array(e.ids, dtype="<u4").tobytes()
