@@ -49,6 +49,13 @@ def saved(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, tag: str, most: int) -> DataFrame:
+    """df, written, and marked for broadcast if it has no more than `most` rows;
+    with more of them the join that reads it shuffles."""
+    df = saved(df, tag)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,13 +15,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, saved
+from .common import ascii_lower, saved, small
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Item shingles tested in one set; more are tested in several sets.
 SET_SIZE = 20_000
 #: Windows broadcast up to this count (about 200 bytes each); beyond it the join shuffles.
 WINDOWS_BROADCAST = 100_000
+#: Digests of contaminated texts broadcast up to this count (32 bytes each); beyond it the join shuffles.
+TEXTS_BROADCAST = 300_000
 
 
 def words(col):
@@ -87,6 +89,15 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, shingle:
     return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), (n_hit > 0).alias("contaminated"))
 
 
+def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = 10, shingle: int = 5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, that are not contaminated. Whether one
+    is depends on its text alone, so a digest of the text names it."""
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    found = decontaminate(docs.select(digest.alias("digest"), F.col(text_col).alias("text")), bench, window, shingle, "digest", "text")
+    goes = small(found.filter("contaminated").select(F.col("doc_id").alias("__digest")).distinct(), "goes", TEXTS_BROADCAST)
+    return docs.withColumn("__digest", digest).join(goes, "__digest", "left_anti").drop("__digest")
+
+
 def _shingle_hashes():
     """Of a window's words w: the hash of each of its shingles of k words."""
     by_k = lambda k: f"transform(sequence(0, m - {k}), i -> {_hash('w', 'i', k)})"

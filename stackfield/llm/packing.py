@@ -12,10 +12,11 @@ tokens in either pass.
 from __future__ import annotations
 
 import os
+import struct
 from collections.abc import Iterator
 from itertools import accumulate
+from unicodedata import is_normalized
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,10 +30,19 @@ TOTALS_BROADCAST = 1_000_000
 _tokens: dict[str, tuple] = {}
 
 
+#: The byte-level alphabet: visible Latin-1 characters stand for themselves, other bytes for those from U+0100 on.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = dict(zip([b for b in range(256) if b not in _VISIBLE], range(256, 512), strict=False))
+
 #: Signs that are never part of a contraction or of a special token's end.
 _SIGNS = ".,!?;:*#$%&)\"="
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Ids(dict):
     """Token to its ids as little-endian unsigned 32-bit numbers."""
 
@@ -41,6 +51,7 @@ class _Ids(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
         self.bodies: dict[str, bytes] = {"": b""}
 
     def learn(self, tokens: set[str]) -> None:
@@ -54,9 +65,17 @@ class _Ids(dict):
         for t in new:
             body = t.rstrip(_SIGNS)
             cut.append((body, t[len(body) :]) if body and body[-1].lower()[-1].isalpha() else (t, ""))
-        fresh = list({x for pair in cut for x in pair if x and x not in self.bodies})
-        for x, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.bodies[x] = np.array(e.ids, dtype="<u4").tobytes()
+        whole = []
+        for x in {x for pair in cut for x in pair if x and x not in self.bodies}:
+            low = x.lower()
+            if x.isalpha() and len(low) == len(x) and "ς" not in low and (x.isascii() or is_normalized("NFC", x)):
+                # one run of letters: the normaliser and the splitting leave it whole, so the vocabulary's merges suffice
+                ids = self.merges(low if x.isascii() else low.encode().decode("latin-1").translate(_BYTES))
+                self.bodies[x] = pack_ids([t.id for t in ids])
+            else:
+                whole.append(x)
+        for x, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            self.bodies[x] = pack_ids(e.ids)
         for t, (body, tail) in zip(new, cut, strict=True):
             self[t] = self.bodies[body] + self.bodies[tail]
 
@@ -74,7 +93,7 @@ _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 def encode(texts: list[str], path: str, end_id: int) -> list[bytes]:
     """Each text's ids and then end_id. The vocabulary's tokens never span white
     space, so a text's ids are its tokens' ids joined."""
-    table, end = _ids(path), np.array([end_id], dtype="<u4").tobytes()
+    table, end = _ids(path), pack_ids([end_id])
     split = [[t] if any(c in t for c in _ODD) else t.split() for t in texts]
     table.learn(set().union(*split))
     get = table.__getitem__

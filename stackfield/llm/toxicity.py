@@ -316,3 +316,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.record_batch([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, score double")
+
+
+def keep_below(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, whose score is below threshold."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens(model.lexicon, model.stems)
+        for b in batches:
+            yield b.filter(pa.array(model.score([t or "" for t in b.column(at).to_pylist()], tokens) < threshold))
+
+    return arrow_map(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
