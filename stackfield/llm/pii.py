@@ -165,7 +165,8 @@ def find_exceptions(rows: DataFrame, secret: str, turns: int = 8) -> dict[str, i
     kept = saved(rows.select(F.explode(F.expr(f"regexp_extract_all(text, {_q(ENTITY)}, 0)")).alias("e")).groupBy("e").count().select("e"), "entities")
     for turn in range(1, turns + 1):
         each = kept.select(F.expr(_entities("e", secret, exceptions)).getItem(0).alias("x")).select("x.norm", F.expr(norm_sql("x.new", "x.kind")).alias("new_norm"))
-        found = [r[0] for r in clashes(each.filter("norm IS NOT NULL").distinct()).limit(EXCEPTIONS + 1).collect()]
+        each = saved(each.filter("norm IS NOT NULL").distinct(), "surrogates")
+        found = [r[0] for r in clashes(each).limit(EXCEPTIONS + 1).collect()]
         if not found:
             return exceptions
         exceptions |= dict.fromkeys(found, turn)
