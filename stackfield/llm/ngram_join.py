@@ -162,7 +162,8 @@ def _grouped(docs: DataFrame, threshold: float, shingle: int, id_col: str, text_
     roots = components(edges)
     sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     blocks = roots.join(sizes, "root").select("root", F.col("node").alias("rep"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    active = blocks.join(marked.select(F.col("__row").alias("rep"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "rep")
+    texts = marked.filter("__bands IS NOT NULL").select(F.col("__row").alias("rep"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    active = blocks.join(texts.hint("merge"), "rep")  # the texts cross a shuffle once, at every size alike
     meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"))))
     dealt = active.select("root", "rep", "doc_id", "text", "block", (F.col("blocks") == 1).alias("whole"), meets.alias("m")).select("root", "m.i", "m.j", "block", "whole", "rep", "doc_id", "text")
     dealt = dealt.repartition(shuffle_partitions(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j", "rep")
