@@ -150,7 +150,7 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_i
         for b in batches:
             for page_id, url, payload, last in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "last")), strict=True):
                 if writer is None:
-                    out = at.open_output_stream(name)
+                    out = at.open_output_stream(name, compression=None)
                     writer = Writer(out)
                 revisit = last is not None and last != page_id
                 writer.add(record(page_id, url, payload, digest(payload), last, revisit))
@@ -173,7 +173,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
             for uri in b.column(0).to_pylist():
                 at, path = file_system(uri)
                 got, held = [], 0
-                with at.open_input_stream(path) as stream:
+                with at.open_input_stream(path, compression=None) as stream:
                     for head, block in read_archive(stream):
                         revisit, sha1 = head["WARC-Type"] == "revisit", head["WARC-Payload-Digest"].removeprefix("sha1:")
                         payload = None if revisit else block.partition(b"\r\n\r\n")[2]

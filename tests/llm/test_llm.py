@@ -1,0 +1,410 @@
+"""Operators of the training-data subpackage against brute force, on small
+fixtures with nulls, empty and long texts, ties, repeated rows, empty tables and
+extra columns with clashing names."""
+
+import base64
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from stackfield.llm import components, decontaminate, fingerprints, licenses, ngram_join, packing, pii, queries, secrets, toxicity, urls, warc
+from stackfield.llm.common import Words, shingles
+
+RNG = np.random.default_rng(11)
+VOCABULARY = ["".join(RNG.choice(list("abcdefghijklmnop"), RNG.integers(2, 8))) for _ in range(400)]
+
+
+def prose(n, seed):
+    r = np.random.default_rng(seed)
+    return " ".join(VOCABULARY[i] for i in r.integers(0, len(VOCABULARY), n))
+
+
+def docs_of(spark, rows):
+    """With columns that clash with names used inside."""
+    return spark.createDataFrame([(i, t, "en", "s", 7, "x", 1) for i, t in rows], "doc_id long, text string, lang string, source string, row long, score string, w int")
+
+
+ODD = [(100, None), (101, ""), (102, " \n\t"), (103, "one"), (104, "!!! ... ###"), (105, "x" * 40_000), (106, "é ÀÉ 中文 字 ١٢"), (None, "no id here at all"), (107, "same row"), (107, "same row")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, prose(30 + 11 * i, i)) for i in range(20)]
+    return docs_of(spark, rows + ODD).repartition(3).persist()
+
+
+def texts_of(df):
+    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+
+
+# --- packing -----------------------------------------------------------------
+
+
+def test_packing(spark, docs):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    t = Tokenizer.from_file(path)
+    pieces = packing.pack(docs, path, 256)
+    rows = pieces.collect()
+    want = Counter((i, tuple(t.encode(x or "", add_special_tokens=False).ids + [2])) for i, x in texts_of(docs))
+    got, last = Counter(), None
+    by_place = sorted(rows, key=lambda r: (r["sequence_id"], r["offset"]))
+    at = 0
+    for r in by_place:
+        assert r["sequence_id"] * 256 + r["offset"] == at and r["offset"] + r["length"] <= 256 and len(r["ids"]) == 4 * r["length"]
+        at += r["length"]
+        ids = tuple(np.frombuffer(r["ids"], "<u4"))
+        assert (last is None) == (r["start"] == 0) and r["cut_before"] == (last is not None)
+        last = (last or ()) + ids
+        if not r["cut_after"]:
+            assert len(last) == r["doc_tokens"]
+            got[(r["doc_id"], last)] += 1
+            last = None
+    assert got == want
+    whole = packing.sequences(pieces, 256).collect()
+    assert all(len(r["ids"]) == 4 * (r["n"] if r["n"] & (r["n"] - 1) == 0 else 256) for r in whole) and sum(r["n"] for r in whole) == at
+    assert packing.pack(docs.limit(0), path).count() == 0
+
+
+def test_tokens_join_to_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    t = Tokenizer.from_file(path)
+    odd = ["a'll. <|endoftext|>. it's!! O'RE...", "x\x1cy é. Á. x y İ. Σ. ΑΣ. ΣΑΣ, don't.", "123. 4,5 éa ñ.", "Ünïcødé—ok “q” ﬁ ǅ", ""]
+    for text, got in zip(odd, packing.encode(odd, path, 2)):
+        assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids + [2], text
+
+
+# --- decontamination ---------------------------------------------------------
+
+
+def brute_decontamination(docs, bench, size=10):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = []
+    for i, t in docs:
+        w, hit, items = words(t), set(), set()
+        for item, text in bench:
+            b = words(text)
+            for k in range(max(1, len(b) - size + 1)) if b else ():
+                win = b[k : k + size]
+                for p in range(len(w) - len(win) + 1):
+                    if w[p : p + len(win)] == win:
+                        hit |= set(range(p, p + len(win)))
+                        items.add(str(item) if item is not None else "")
+        out.append((i, len(w), len(hit), tuple(sorted(items))))
+    return Counter(out)
+
+
+def test_decontamination(spark):
+    a, b = prose(40, 1), prose(25, 2)
+    bench = [(1, a), (2, b), (3, "Only Four Words here"), (4, None), (5, ""), (6, b), (7, "word"), (None, prose(12, 9)), (8, " ".join([VOCABULARY[0]] * 14))]
+    rows = [(0, prose(20, 5) + " " + a + " " + prose(9, 6)), (1, a[:60]), (2, b.upper() + "! " + b), (3, "x only four WORDS here y only four words"), (4, " ".join([VOCABULARY[0]] * 30)), (5, prose(200, 9)), (6, " ".join(a.split()[3:14])), (7, "a word"), *ODD]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    for window, shingle in ((10, 5), (4, 2)):
+        got = Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["item_ids"])) for r in decontaminate.decontaminate(docs_of(spark, rows), items, window, shingle).collect())
+        assert got == brute_decontamination(rows, bench, window)
+    kept = decontaminate.drop_contaminated(docs_of(spark, rows), items)
+    clean = [k for k, n in brute_decontamination(rows, bench).items() for _ in range(n) if k[2] == 0]
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(k[0] for k in clean) and kept.columns == docs_of(spark, rows).columns
+    assert decontaminate.decontaminate(docs_of(spark, rows), items.limit(0)).filter("contaminated").count() == 0
+    assert decontaminate.decontaminate(docs_of(spark, rows[:0]), items).count() == 0
+
+
+def test_decontamination_beyond_one_set_and_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SET_SIZE", 3)
+    monkeypatch.setattr(decontaminate, "WINDOWS_BROADCAST", 0)
+    monkeypatch.setattr(decontaminate, "TEXTS_BROADCAST", 0)
+    test_decontamination(spark)
+
+
+# --- personal data -----------------------------------------------------------
+
+
+def test_surrogates(spark):
+    text = "mail Foo.Bar9@Mail7.example.com or foo.bar9@mail7.example.com, +1 (499) 555-6503 and (499) 555-6503; 4111 1111 1111 1111, 4111-1111-1111-1111 at 152.143.123.131 and 10.1.2.3; 123-45-6789; Mr John Smith and Anna Smith"
+    rows = [(i, f"{text} user{i}@example.org {i}.17.{i}.9 +1 (2{i:02d}) 555-01{i:02d}") for i in range(1, 90)] + ODD + [(900, "clean 4.0. text, 3.14")]
+    out = {r["doc_id"]: r for r in pii.surrogates(docs_of(spark, rows), "key").collect() if r["doc_id"] != 107}
+    one = out[1]["text"]
+    for real in ("Foo.Bar9", "foo.bar9", "555-6503", "4111 1111", "4111-1111", "152.143.123.131", "10.1.2.3", "123-45-6789", "Smith"):
+        assert real not in one
+    assert "Mr " in one and one.split(" or ")[0].lower()[5:] == one.split(" or ")[1].split(",")[0]
+    phones = re.findall(r"\(\d{3}\) \d{3}-\d{4}", one)
+    assert phones[0] == phones[1] and "+1 (" in one and re.search(r"\b10\.\d+\.\d+\.\d+", one)
+    cards = re.findall(r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}", one)
+    digits = [c for c in cards[0] if c.isdigit()]
+    assert cards[0].replace(" ", "-") == cards[1] and sum(sum(divmod(int(d) * (2 - i % 2), 10)) for i, d in enumerate(digits)) % 10 == 0
+    for pattern in (r"\S+@\S+", r"\d+\.\d+\.\d+\.\d+", r"\+1 \(\d{3}\) \d{3}-\d{4}"):
+        made = [re.findall(pattern, out[i]["text"])[-1] for i in range(1, 90)]
+        assert len(set(made)) == 89
+    for i, t in ODD[:7] + [(900, "clean 4.0. text, 3.14")]:
+        assert out[i]["text"] == t and out[i]["n_entities"] == 0 and out[i]["kinds"] == []
+    assert pii.surrogates(docs_of(spark, []), "key").count() == 0
+
+
+def test_given_names_keep_gender_and_script(spark):
+    rows = [(i, f"{n} Xu met") for i, n in enumerate(pii._ALL_NAMES)]
+    out = {r["doc_id"]: r["text"].split()[0] for r in pii.surrogates(docs_of(spark, rows), "k").collect()}
+    for group, names in pii.NAMES.items():
+        made = [out[pii._ALL_NAMES.index(n)] for n in names]
+        assert sorted(made) == sorted(names) and made != names, group
+
+
+def test_clashes_get_another_key(spark):
+    e = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "a"), ("d", "y")], "norm string, new_norm string")
+    assert sorted(r["norm"] for r in pii.clashes(e).collect()) == ["b", "c"]
+
+
+# --- URLs --------------------------------------------------------------------
+
+
+def test_urls(spark):
+    given = ["http://a.example.com/en/7?x", "http://A.EXAMPLE.com/en/8", "https://com/en/", "http://example.com/EN/7", "ftp://x.example.net/de/81#a", "http://net/de", "http://anet/de/", "http://b.net/de/5", "no scheme", "", None, "://", "http:///en/", "http://a..com/en/x", "http://x.org/es/?q", "http://x.com", "http://example.com/en/7\nmore", "http://é.com/en/é"]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(given)] + [(0, given[0], "h")], "page_id long, url string, host string")
+    rules = queries.URL_RULES
+
+    def brute(u):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+        fit = [(len(h) + len(p), v, h + p) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return host, path, max(fit)[2] if fit else None, max(fit)[1] if fit else "allow"
+
+    frame = spark.createDataFrame(rules, "host string, path string, verdict string")
+    got = Counter(tuple(r) for r in urls.filter_urls(pages, frame).select("page_id", "host", "path", "rule", "verdict").collect())
+    assert got == Counter((i, *brute(u)) for i, u in [*enumerate(given), (0, given[0])])
+    assert urls.filter_urls(pages, frame.limit(0)).filter("verdict <> 'allow' OR rule IS NOT NULL").count() == 0
+    assert urls.filter_urls(pages.limit(0), frame).count() == 0
+
+
+# --- licenses ----------------------------------------------------------------
+
+
+@pytest.mark.parametrize("text,want", [
+    ("x.\nThis work is licensed under the GNU General Public License, version 3.\ny", ["GPL-3.0"]), ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]), ("# Released under the MIT License.", ["MIT"]),
+    ("Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License.", ["Apache-2.0"]), ("Licensed under the GNU Lesser General Public License version 2.1. Or at your option any later version.", ["LGPL-2.1-or-later"]),
+    ("Released under the 3-Clause BSD License. Released under the MIT License.", ["BSD-3-Clause", "MIT"]), ("I like the MIT license a lot.", []), ("Licensed under CC0 1.0.", ["CC0-1.0"]), ("This is free and unencumbered software released into the public domain.", ["Unlicense"]),
+])
+def test_licenses(spark, text, want):
+    assert licenses.scan(docs_of(spark, [(1, text)])).first()["licenses"] == want
+
+
+def test_licenses_of_odd_texts(spark, docs):
+    out = licenses.scan(docs).collect()
+    assert len(out) == docs.count() and all(r["licenses"] == [] and r["sentences"] == [] for r in out)
+
+
+# --- n-gram join -------------------------------------------------------------
+
+
+def brute_join(rows, threshold=0.8):
+    words, sets = Words(), {}
+    for i, t in rows:
+        w = words.hashes(t or "")
+        sets.setdefault(w.tobytes(), (set(shingles(w).tolist()), []))[1].append(i)
+    classes = list(sets.values())
+    links, root = Counter(), list(range(len(classes)))
+    for a in range(len(classes)):
+        for b in range(a):
+            x, y = classes[a][0], classes[b][0]
+            if x and y and len(x & y) >= threshold * len(x | y) - 1e-9:
+                links[a] += 1
+                links[b] += 1
+                ra, rb = root[a], root[b]
+                root = [ra if r == rb else r for r in root]
+    least = lambda ids: min((x for x in ids if x is not None), default=None)
+    group = {r: least([i for k, c in enumerate(classes) if root[k] == r for i in c[1]]) for r in set(root)}
+    return Counter((i, group[root[k]], least(c[1]), len(c[1]), links[k]) for k, c in enumerate(classes) for i in c[1])
+
+
+def near_rows():
+    rows, n = [], 0
+    for g in range(6):
+        base = prose(120, 50 + g).split()
+        for v in range(1 + 5 * g):
+            w = list(base)
+            r = np.random.default_rng(1000 * g + v)
+            for p in r.integers(0, 120, g % 4):
+                w[p] = VOCABULARY[r.integers(0, 400)]
+            rows.append((n, " ".join(w)))
+            n += 1
+    return rows + [(500, rows[3][1]), (501, rows[3][1].upper() + " !")] + ODD
+
+
+def test_join_against_all_pairs(spark, monkeypatch):
+    rows = near_rows()
+    for block in (256, 4):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        got = Counter(tuple(r) for r in ngram_join.jaccard_join(docs_of(spark, rows)).select("doc_id", "class_id", "copy_id", "n_copies", "n_links").collect())
+        assert got == brute_join(rows)
+    kept = ngram_join.keep_first(docs_of(spark, rows))
+    classes = {k[1] for k in brute_join(rows) if k[0] not in (100, 101, 102, 104)}
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert set(ids) == classes | {100, 101, 102, 104} and len(ids) == len(set(ids)) and kept.columns == docs_of(spark, []).columns
+    assert ngram_join.jaccard_join(docs_of(spark, [])).count() == 0
+
+
+def test_bands():
+    for t in (0.5, 0.8, 0.95):
+        b, r = ngram_join.bands_for(t)
+        assert 1 - (1 - t**r) ** b >= 0.999 and b * r <= 144
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(200, 100), (200, 150), (7, 7), (300, 300), (None, 4)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len({got[i] for i in range(61)}) == 1 and len({got[i] for i in (100, 150, 200)}) == 1 and len(set(got.values())) == 3
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- WARC --------------------------------------------------------------------
+
+
+def test_warc_round_trip(spark):
+    rows = [(i, f"http://x/{i}?a b\n", "<p>" + prose(50 + i, i) + "é</p>") for i in range(40)] + [(50, None, None), (51, "u", ""), (52, "u", "<p>same</p>"), (53, "u", "<p>same</p>"), (54, "u", "<p>same</p>"), (54, "u", "<p>same</p>"), (None, "u", "<p>alone</p>"), (60, "u", "y" * 3_000_000)]
+    pages = spark.createDataFrame([(*r, 1, "s") for r in rows], "page_id long, url string, html string, last long, sha1 string").repartition(3)
+    files = warc.write_archives(pages)
+    out = warc.read_archives(files).collect()
+    last = {}
+    for i, _, h in rows:
+        last[h or ""] = max(last.get(h or "", -1), -1 if i is None else i)
+    want = Counter()
+    for i, _, h in rows:
+        raw, top = (h or "").encode(), last[h or ""]
+        revisit = top >= 0 and i != top
+        want[(i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if revisit else "response", top if revisit else None)] += 1
+    assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in out) == want
+    assert {(r["page_id"], bytes(r["payload"]).decode()) for r in out if r["record_type"] == "response"} <= {(i, h or "") for i, _, h in rows}
+    least = warc.read_archives(warc.write_archives(pages, least_bytes=5)).collect()
+    assert {r["page_id"] for r in least if r["record_type"] == "revisit"} == {52, 53}
+    raw = open(files.first()["path"].removeprefix("file://"), "rb").read(4)
+    assert int.from_bytes(raw, "little") == warc.MAGIC
+    assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+
+
+# --- fingerprints ------------------------------------------------------------
+
+
+def test_fingerprints_against_brute_force(spark, docs):
+    rows = sorted(((i, t or "") for i, t in texts_of(docs)), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = Counter()
+    for k, (i, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        new = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        a, b, c = (fingerprints.sketch(x) for x in (t, new, after))
+        want[(i, len(t), hashlib.sha256(new.encode()).hexdigest(), fingerprints.to_text(a), fingerprints.to_text(b), round(fingerprints.resemblance(a, b), 9), round(fingerprints.resemblance(a, c), 9))] += 1
+    for parts in (4, 1, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = fingerprints.compare_edited(docs).collect()
+        assert Counter((*tuple(r)[:5], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == want
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    alone = fingerprints.compare_edited(docs_of(spark, [(1, prose(60, 1))])).first()
+    assert alone["near_next"] == 1.0
+    assert fingerprints.compare_edited(docs_of(spark, [])).count() == 0
+    assert fingerprints.fingerprints(docs).count() == docs.count()
+
+
+def test_sketch_estimates():
+    words = Words()
+    a, b = prose(4000, 1), " ".join(prose(4000, 1).split()[:2000])
+    A, B = (set(shingles(words.hashes(x)).tolist()) for x in (a, b))
+    x, y = fingerprints.sketch(a), fingerprints.sketch(b)
+    assert abs(fingerprints.resemblance(x, y) - len(A & B) / len(A | B)) < 0.15 and fingerprints.containment(y, x) > 0.95
+    assert abs(fingerprints.containment(x, y) - len(A & B) / len(A)) < 0.15 and abs(fingerprints.distinct(x) / len(A) - 1) < 0.3
+    halves = [fingerprints.sketch(" ".join(a.split()[i : i + 2004])) for i in (0, 1996)]
+    assert np.array_equal(fingerprints.merge(*halves), x) and np.array_equal(fingerprints.from_text(fingerprints.to_text(x)), x)
+    few = fingerprints.sketch("one two three four five six")
+    assert fingerprints.distinct(few) == 2 and fingerprints.resemblance(few, few) == 1
+
+
+# --- toxicity ----------------------------------------------------------------
+
+
+def toxic_rows(n=600):
+    r = np.random.default_rng(8)
+    out = []
+    for i in range(n):
+        w = prose(60, i).split()
+        y = int(r.random() < 0.3)
+        for p in r.integers(0, 60, 4 * y):
+            w[p] = r.choice(["idiot", "SCUM", "m0ron", "gloopish"])
+        out.append((i, " ".join(w), y))
+    return out
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rows = toxic_rows()
+    docs = docs_of(spark, [(i, t) for i, t, _ in rows] + ODD)
+    labels = spark.createDataFrame([(i, 0, y) for i, _, y in rows] + [(5, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    texts, y = toxicity.labelled_sample(docs, labels, "toxic", 400)
+    assert len(texts) <= 400
+    known = {t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5}
+    assert set(texts) <= known
+    model = toxicity.fit(texts, y)
+    assert "gloopish" in model.lexicon
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    out = [(scored[i], l) for i, _, l in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(0 <= s <= 1 for s in scored.values()) and np.mean([(s >= 0.5) == bool(l) for s, l in out]) > 0.97
+    held = {r["doc_id"]: r["h"] for r in docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()}
+    assert all(held[i] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(50)) and held[None]
+    kept = toxicity.keep_below(docs, model)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, s in scored.items() if s < 0.5}
+    assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_toxicity_details():
+    assert toxicity.unmasked("1d10t!") == "idiot" and toxicity.unmasked("m.o.r.o.n") == "moron" and toxicity.unmasked("scuuuum") == "scum"
+    assert toxicity.spelled("i d i o t you".split(), np.array([1, 1, 1, 1, 1, 0], bool), frozenset({"idiot"})) == 1
+    xs, ps = toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0, 1, 0, 1]))
+    assert np.all(np.diff(ps) >= 0) and np.interp(2.5, xs, ps) == 0.5
+    assert toxicity.fit(["a"], np.array([1])).score(["b", ""]).tolist() == [1, 1]
+    assert toxicity.fit([], np.array([])).score(["b"]).tolist() == [0]
+
+
+# --- secrets -----------------------------------------------------------------
+
+
+def test_secrets(spark):
+    forest = secrets.fit(spark)
+    new = secrets.default_findings(800, seed=77)
+    rows = spark.createDataFrame(new, "l string, c string, r string, y int").select("y", F.expr(secrets.feature_sql("c", "l", "r")).alias("x")).selectExpr("y", "x", f"{forest.sql('x')} AS s").collect()
+    assert np.mean([(r["s"] >= 0.5) == bool(r["y"]) for r in rows]) > 0.97
+    assert np.allclose([r["s"] for r in rows], forest.predict(np.array([r["x"] for r in rows])))
+    key = hashlib.sha1(b"k").hexdigest()
+    texts = [(1, f'é a token = "{key}" b api_key: {key[::-1]} é'), (2, f"commit {key} of thanbleshaningtionnt"), (3, "see https://example.com/section/configuration/document.html"), *ODD]
+    out = {r["doc_id"]: r for r in secrets.scan(docs_of(spark, texts), forest).collect()}
+    assert [texts[0][1][s["start"] : s["start"] + s["length"]] for s in out[1]["secrets"]] == [key, key[::-1]]
+    assert all(out[i]["n_secrets"] == 0 for i, _ in [*texts[1:3], *ODD])
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs_of(spark, texts), forest).collect()}
+    assert clean[1] == 'é a token = "[SECRET]" b api_key: [SECRET] é' and all(clean[i] == t for i, t in [*texts[1:3], *ODD])
+    assert secrets.redact(docs_of(spark, texts), forest).columns == docs_of(spark, texts).columns
+
+
+# --- the pipeline ------------------------------------------------------------
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    bench = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r["doc_id"]: r["text"] for r in docs.collect()}
+        docs = stage(spark, docs, sf).persist()
+        after = {r["doc_id"]: r["text"] for r in docs.collect()}
+        assert docs.columns == corpus_pipeline.COLUMNS and set(after) <= set(before), name
+        if name == "near duplicates":
+            assert set(after) == {k[1] for k in brute_join(list(before.items()))}
+        elif name == "decontamination":
+            assert set(after) == {k[0] for k in brute_decontamination(list(before.items()), bench) if k[2] == 0}
+        elif name == "secrets":
+            assert set(after) == set(before) and all(after[i] == re.sub(r'(token = ")[0-9a-f]{40}', r"\1[SECRET]", t) for i, t in before.items())
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert {r["doc_id"] for r in pieces.collect()} == set(after)
