@@ -101,7 +101,8 @@ def compare_edited(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = rows.select("doc_id")
     parts = shuffle_partitions(docs.sparkSession)
-    cuts = np.array(sorted(set(ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))), dtype=np.int64)
+    found = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else None
+    cuts = np.array(sorted(set(found or ())), dtype=np.int64)
 
     @F.pandas_udf("int")
     def part(x: pd.Series) -> pd.Series:
