@@ -334,14 +334,14 @@ def toxic_rows(n=600):
         y = int(r.random() < 0.3)
         for p in r.integers(0, 60, 4 * y):
             w[p] = r.choice(["idiot", "SCUM", "m0ron", "gloopish"])
-        out.append((i, " ".join(w), y))
+        out.append((1000 + i, " ".join(w), y))
     return out
 
 
 def test_toxicity_on_held_out_rows(spark):
     rows = toxic_rows()
     docs = docs_of(spark, [(i, t) for i, t, _ in rows] + ODD)
-    labels = spark.createDataFrame([(i, 0, y) for i, _, y in rows] + [(5, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, 0, y) for i, _, y in rows] + [(1005, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
     texts, y = toxicity.labelled_sample(docs, labels, "toxic", 400)
     assert len(texts) <= 400
     known = {t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5}
@@ -352,7 +352,7 @@ def test_toxicity_on_held_out_rows(spark):
     out = [(scored[i], l) for i, _, l in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert all(0 <= s <= 1 for s in scored.values()) and np.mean([(s >= 0.5) == bool(l) for s, l in out]) > 0.97
     held = {r["doc_id"]: r["h"] for r in docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()}
-    assert all(held[i] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(50)) and held[None]
+    assert all(held[i] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(1000, 1050)) and held[None]
     kept = toxicity.keep_below(docs, model)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, s in scored.items() if s < 0.5}
     assert toxicity.score(docs.limit(0), model).count() == 0
