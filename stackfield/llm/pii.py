@@ -35,7 +35,7 @@ CLASSES = ("aeiou", "bcdfghjklmnpqrstvwxyz", "àâäáãåèêëéìîïíòôö
 
 _ALL_NAMES = [n for names in NAMES.values() for n in names]
 _WORD = r"\p{Lu}[\p{Ll}’'-]*\p{Ll}"
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9])"
@@ -43,7 +43,13 @@ IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![0-9.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])"
 NAME = rf"\b(?:(?:{TITLES})\.? {_WORD}(?: {_WORD})?|(?:{'|'.join(sorted(_ALL_NAMES, key=len, reverse=True))}) {_WORD})"
-ENTITY = "|".join((EMAIL, IPV4, CARD, IBAN, SSN, PHONE, NAME))
+#: What a position begins with decides which patterns are tried there.
+_NUMBERS = rf"(?=[0-9+(])(?:{'|'.join((IPV4, CARD, SSN, PHONE))})"
+_NAMED = rf"(?=\p{{Lu}})(?:{NAME})"
+_CAPITAL = rf"(?=\p{{Lu}})(?:{IBAN}|{NAME})"
+#: Of texts with @, of others with digits, of all others; the first finds all of them.
+ENTITY = f"{EMAIL}|{_NUMBERS}|{_CAPITAL}"
+_NO_EMAIL, _NO_DIGITS = f"{_NUMBERS}|{_CAPITAL}", _NAMED
 #: Entities with another key that are named in the plan, at most; the check keeps them few.
 EXCEPTIONS = 5000
 
@@ -142,9 +148,15 @@ def _keyed(secret: str, kind: str, norm: str, exceptions: dict[str, int]) -> str
     return f"concat({_q(secret)}, {kind}, {f'CASE {again} ELSE {_q("")} END' if again else _q('')})"
 
 
+def found_sql(text: str) -> str:
+    """The entities of text, by the smallest pattern that can find them all."""
+    by = lambda p: f"regexp_extract_all({text}, {_q(p)}, 0)"
+    return f"CASE WHEN contains({text}, '@') THEN {by(ENTITY)} WHEN {text} rlike '[0-9]' THEN {by(_NO_EMAIL)} ELSE {by(_NO_DIGITS)} END"
+
+
 def _entities(text: str, secret: str, exceptions: dict[str, int]) -> str:
     """SQL of the array of (e, kind, norm, new) of the entities of text."""
-    found = f"transform(regexp_extract_all({text}, {_q(ENTITY)}, 0), e -> named_struct('e', e, 'kind', {kind_sql('e')}))"
+    found = f"transform({found_sql(text)}, e -> named_struct('e', e, 'kind', {kind_sql('e')}))"
     normed = f"transform({found}, x -> named_struct('e', x.e, 'kind', x.kind, 'norm', {norm_sql('x.e', 'x.kind')}))"
     return f"transform({normed}, x -> named_struct('e', x.e, 'kind', x.kind, 'norm', x.norm, 'new', {surrogate_sql('x.e', 'x.kind', _keyed(secret, 'x.kind', 'x.norm', exceptions))}))"
 
@@ -162,7 +174,7 @@ def clashes(entities: DataFrame) -> DataFrame:
 def find_exceptions(rows: DataFrame, secret: str, turns: int = 8) -> dict[str, int]:
     """Which entities of rows (text) need another key, and which."""
     exceptions: dict[str, int] = {}
-    kept = saved(rows.select(F.explode(F.expr(f"regexp_extract_all(text, {_q(ENTITY)}, 0)")).alias("e")).groupBy("e").count().select("e"), "entities")
+    kept = saved(rows.select(F.explode(F.expr(found_sql("text"))).alias("e")).groupBy("e").count().select("e"), "entities")
     for turn in range(1, turns + 1):
         each = kept.select(F.expr(_entities("e", secret, exceptions)).getItem(0).alias("x")).select("x.norm", F.expr(norm_sql("x.new", "x.kind")).alias("new_norm"))
         each = saved(each.filter("norm IS NOT NULL").distinct(), "surrogates")
@@ -185,8 +197,7 @@ def surrogates(docs: DataFrame, secret: str, id_col: str = "doc_id", text_col: s
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     exceptions = find_exceptions(rows, secret)
-    some = F.expr(f"if(text rlike {_q('[0-9@]|' + NAME)}, {_entities('text', secret, exceptions)}, cast(array() as array<struct<e: string, kind: string, norm: string, new: string>>))")
-    out = rows.withColumn("x", some)
+    out = rows.withColumn("x", F.expr(_entities("text", secret, exceptions)))
     joined = F.expr(f"array_join(zip_with(split(text, {_q(ENTITY)}, -1), transform(x, y -> y.new), (p, n) -> concat(p, coalesce(n, ''))), '')")
     n = F.greatest(F.size("x"), F.lit(0))
     return out.select("doc_id", F.when(n > 0, joined).otherwise(F.col("text")).alias("text"), n.cast("long").alias("n_entities"), F.coalesce(F.array_sort(F.array_distinct(F.transform("x", lambda y: y["kind"]))), F.array().cast("array<string>")).alias("kinds"))
