@@ -49,7 +49,7 @@ def bare(token: str) -> str:
 
 def unmasked(token: str) -> str:
     """The word behind leet letters, separators and stretched letters."""
-    return re.sub(r"(.)\1{2,}", r"\1", re.sub(r"[\W_]+", "", token.lower().translate(LEET)))
+    return re.sub(r"(.)\1{2,}", r"\1", re.sub(r"[\W_]+", "", token.rstrip(".,!?").lower().translate(LEET)))
 
 
 class Tokens(dict):
