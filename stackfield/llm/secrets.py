@@ -195,13 +195,6 @@ def fit(spark: SparkSession, findings: list[tuple[str, str, str, int]] | None =
     return Forest.fit(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], dtype=float))
 
 
-def _found(text: str, forest: Forest, threshold: float) -> list[str]:
-    """SQL of the steps: parts between candidates, candidates, and (start, length, score) of each."""
-    parts = f"split({text}, r'{CANDIDATE}', -1)"
-    cands = f"regexp_extract_all({text}, r'{CANDIDATE}', 0)"
-    return [parts, cands]
-
-
 def _scanned(docs: DataFrame, forest: Forest, threshold: float, text_col: str) -> DataFrame:
     """docs with __parts, __cands, __scores: the text between candidates, these and their scores."""
     text = f"`{text_col}`"
