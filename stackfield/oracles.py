@@ -21,13 +21,6 @@ def _with(*ctes: str) -> str:
     return "WITH RECURSIVE " + ",\n".join((_PX, _PU, *ctes)) + "\n"
 
 
-def _tap(table: str, dr: int, dc: int, edge: bool = False) -> str:
-    """A correlated neighbour of t; outside null, or with edge the nearest pixel."""
-    r = f"least(greatest(t.r + {dr}, 0), 7)" if edge else f"t.r + {dr}"
-    c = f"least(greatest(t.c + {dc}, 0), 7)" if edge else f"t.c + {dc}"
-    return f"(SELECT n.v FROM {table} n WHERE n.frame_index = t.frame_index AND n.r = {r} AND n.c = {c})"
-
-
 # The whole frame of a row as a list, so that neighbours are list elements.
 def _list(table: str, name: str) -> str:
     return f"{name} AS (SELECT frame_index, label, list(v ORDER BY r, c) AS p FROM {table} GROUP BY frame_index, label)"
