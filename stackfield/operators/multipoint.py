@@ -1,7 +1,7 @@
 """Stacks with local alignment: alignment points, and surfaces warped between them.
 
-Offsets, the mean reference and the grid come first, for one capture; the
-reference and the grid are as large as one frame. Search squares are cut out of
+Offsets, the mean reference and the grid of each capture come first, as tables:
+a row for each capture, as large as one frame. Search squares are cut out of
 the frames before the shuffle, so that a frame crosses it once for each point
 that selected it, and only that square of it.
 """
@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..errors import EmptySequence, PipelineError
 from ..frames import batched, map_frames
@@ -21,73 +23,87 @@ from ..functions import kernels as K
 from . import align, quality, stack
 
 REFERENCE_SHARE = 0.2
+#: Stands in the place of a frame's index where a square is one of the reference.
+OF_REFERENCE = -1
+_PLACE = "ap_index: int, cy: int, cx: int"
 
 
-def _first(frames: DataFrame) -> DataFrame:
-    return frames.filter("frame_index = 0").select("pixels")
+def _first(frames: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    return frames.filter("frame_index = 0").select(*keys, "pixels")
 
 
-def global_offsets(frames: DataFrame) -> DataFrame:
-    """(frame_index, dy, dx) by phase correlation with frame 0, whose own is 0."""
-    found = align.offsets(frames, _first(frames))
+def global_offsets(frames: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, frame_index, dy, dx) by phase correlation with frame 0 of the capture, whose own is 0."""
+    found = align.offsets(frames, _first(frames, keys), keys)
     own = F.col("frame_index") == 0
-    return found.select("frame_index", F.when(own, 0.0).otherwise(F.col("dy")).alias("dy"), F.when(own, 0.0).otherwise(F.col("dx")).alias("dx"))
+    return found.select(*keys, "frame_index", F.when(own, 0.0).otherwise(F.col("dy")).alias("dy"), F.when(own, 0.0).otherwise(F.col("dx")).alias("dx"))
 
 
-def mean_reference(frames: DataFrame, offsets: DataFrame, metric: str = "laplacian", share: float = REFERENCE_SHARE) -> np.ndarray:
-    """The mean of the best share of frames, each moved by its offset: one frame, on the driver."""
-    best = quality.select_fraction(quality.score_frames(frames, metric), share).select("frame_index")
-    moved = align.shift(frames.join(best, "frame_index", "left_semi").join(offsets, "frame_index"))
-    row = stack.mean_stack(moved.select("frame_index", "height", "width", "pixels")).first()
-    if row is None:
-        raise EmptySequence("there are no frames to stack")
-    return np.array(row["pixels"], dtype=np.float32).astype(np.float64).reshape(row["height"], row["width"])
+def mean_reference(frames: DataFrame, offsets: DataFrame, metric: str = "laplacian", share: float = REFERENCE_SHARE, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, height, width, pixels): the mean of the best share of each capture's frames, each moved by its offset."""
+    best = quality.select_fraction(quality.score_frames(frames, metric, keys), share, keys).select(*keys, "frame_index")
+    moved = align.shift(frames.join(best, [*keys, "frame_index"], "left_semi").join(offsets, [*keys, "frame_index"]))
+    mean = stack.mean_stack(moved.select(*keys, "frame_index", "height", "width", "pixels"), keys)
+    return mean.select(*keys, "height", "width", F.col("pixels").cast("array<float>").alias("pixels"))
 
 
-def _prepared(frames: DataFrame, metric: str, ap_size: int, min_brightness: float) -> tuple[DataFrame, np.ndarray, list[tuple[int, int, int]]]:
-    offsets = global_offsets(frames).persist()
-    reference = mean_reference(frames, offsets, metric)
-    grid = K.ap_grid(reference, ap_size, min_brightness)
-    if not grid:
-        raise PipelineError("no alignment points: the image is too dark or too small")
-    return offsets, reference, grid
+def _prepared(frames: DataFrame, metric: str, ap_size: int, min_brightness: float, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The offsets, and (keys, height, width, pixels, aps): the reference of each capture and its points."""
+    offsets = global_offsets(frames, keys).persist()
+    points = lambda a: [{"ap_index": i, "cy": y, "cx": x} for i, y, x in K.ap_grid(a, ap_size, min_brightness)]
+    reference = map_frames(mean_reference(frames, offsets, metric, keys=keys), points, {"aps": f"array<struct<{_PLACE}>>"}).persist()
+    captures, without = reference.agg(F.count("*"), F.count_if(F.size("aps") == 0)).first()
+    if not captures:
+        raise EmptySequence("there are no frames to stack")
+    if without:
+        raise PipelineError("no alignment points: the image is too dark or too small" + (f" ({without} of {captures} captures)" if keys else ""))
+    return offsets, reference
 
 
-def ap_scores(frames: DataFrame, offsets: DataFrame, grid: list[tuple[int, int, int]], ap_size: int, metric: str = "laplacian") -> DataFrame:
-    """(ap_index, frame_index, score): each frame is read once, for all points."""
+def ap_scores(frames: DataFrame, offsets: DataFrame, reference: DataFrame, ap_size: int, metric: str = "laplacian", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, frame_index, ap_index, cy, cx, score): each frame is read once, for all points (aps of reference)."""
     half = ap_size // 2
-    names = [i for i, _, _ in grid]
 
-    def kernel(a, dy, dx):
-        return [{"ap_index": i, "score": K.quality(K.region_shifted(a, cy, cx, half, dy, dx), metric)} for i, (_, cy, cx) in zip(names, grid, strict=True)]
+    def kernel(a, aps, dy, dx):
+        return [{**p, "score": K.quality(K.region_shifted(a, p["cy"], p["cx"], half, dy, dx), metric)} for p in aps]
 
-    slim = frames.select("frame_index", "height", "width", "pixels").join(offsets, "frame_index")
-    out = map_frames(slim, kernel, {"found": "array<struct<ap_index: int, score: double>>"}, args=("dy", "dx"), drop=("height", "width", "pixels", "dy", "dx"))
-    return out.select("frame_index", F.inline("found"))
+    slim = align.with_reference(frames.select(*keys, "frame_index", "height", "width", "pixels"), reference, keys, ("aps",)).join(offsets, [*keys, "frame_index"])
+    out = map_frames(slim, kernel, {"found": f"array<struct<{_PLACE}, score: double>>"}, args=("ref_aps", "dy", "dx"), drop=("height", "width", "pixels", "ref_aps", "dy", "dx"))
+    return out.select(*keys, "frame_index", F.inline("found"))
 
 
-def multi_point_stack(frames: DataFrame, ap_size: int = 64, search_radius: int = 16, select: float = 0.25, min_brightness: float = 0.05, metric: str = "laplacian", local: str = "mean", sigma: float = 2.5, iterations: int = 2) -> DataFrame:
-    """One row (height, width, pixels) from the frames of one capture, indices from 0."""
-    offsets, reference, grid = _prepared(frames, metric, ap_size, min_brightness)
-    shape, half = reference.shape, ap_size // 2
+def multi_point_stack(frames: DataFrame, ap_size: int = 64, search_radius: int = 16, select: float = 0.25, min_brightness: float = 0.05, metric: str = "laplacian", local: str = "mean", sigma: float = 2.5, iterations: int = 2, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row (keys, height, width, pixels) for each capture, from its frames, indices from 0 in each."""
+    offsets, reference = _prepared(frames, metric, ap_size, min_brightness, keys)
+    half = ap_size // 2
     search = half + search_radius
-    chosen = quality.select_fraction(ap_scores(frames, offsets, grid, ap_size, metric), select, ("ap_index",))
-    places = {i: (cy, cx) for i, cy, cx in grid}
-    wanted = chosen.groupBy("frame_index").agg(F.collect_list(F.struct("ap_index", "score")).alias("aps"))
-    slim = frames.select("frame_index", "height", "width", "pixels").join(wanted, "frame_index").join(offsets, "frame_index")
+    chosen = quality.select_fraction(ap_scores(frames, offsets, reference, ap_size, metric, keys), select, (*keys, "ap_index"))
+    wanted = chosen.groupBy(*keys, "frame_index").agg(F.collect_list(F.struct("ap_index", "cy", "cx", "score")).alias("aps"))
+    slim = frames.select(*keys, "frame_index", "height", "width", "pixels").join(wanted, [*keys, "frame_index"]).join(offsets, [*keys, "frame_index"])
 
     def squares(a, aps, dy, dx):
-        return [{"ap_index": x["ap_index"], "score": x["score"], "square": K.region_shifted(a, *places[x["ap_index"]], search, dy, dx).astype(np.float32).ravel()} for x in aps]
+        return [{**x, "square": K.region_shifted(a, x["cy"], x["cx"], search, dy, dx).astype(np.float32).ravel()} for x in aps]
+
+    def known_squares(a, aps):
+        return [{**x, "score": 0.0, "square": K.region(a, x["cy"], x["cx"], search).astype(np.float32).ravel()} for x in aps]
 
-    cut = map_frames(slim, squares, {"found": "array<struct<ap_index: int, score: double, square: array<float>>>"}, args=("aps", "dy", "dx"), drop=("height", "width", "pixels", "aps", "dy", "dx"))
-    cut = cut.select("frame_index", F.inline("found"))
+    found = {"found": f"array<struct<{_PLACE}, score: double, square: array<float>>>"}
+    cut = map_frames(slim, squares, found, args=("aps", "dy", "dx"), drop=("pixels", "aps", "dy", "dx"))
+    own = map_frames(reference.withColumn("frame_index", F.lit(OF_REFERENCE).cast("long")), known_squares, found, args=("aps",), drop=("pixels", "aps"))
+    cut = cut.unionByName(own).select(*keys, "frame_index", "height", "width", F.inline("found"))
+    schema = T.StructType([*(cut.schema[k] for k in (*keys, "height", "width", "ap_index", "cy", "cx")), T.StructField("patch", T.ArrayType(T.DoubleType()))])
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
 
     def local_stack(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = key[0].as_py()
-        known = K.region(reference, *places[index], search)
-        patches, weights = [], []
-        rows = sorted(((i, s, x.values.to_numpy(zero_copy_only=False)) for b in batches for i, s, x in zip(b.column("frame_index").to_pylist(), b.column("score").to_pylist(), b.column("square"), strict=True)), key=lambda r: (-r[1], r[0]))
-        for _, score, square in rows:
+        patches, weights, rows = [], [], []
+        for b in batches:
+            for i, s, x, *place in zip(b.column("frame_index").to_pylist(), b.column("score").to_pylist(), b.column("square"), *(b.column(c).to_pylist() for c in ("height", "width", "cy", "cx")), strict=True):
+                square = x.values.to_numpy(zero_copy_only=False)
+                if i == OF_REFERENCE:
+                    known, (h, w, cy, cx) = square.astype(np.float64).reshape(2 * search, 2 * search), place
+                else:
+                    rows.append((i, s, square))
+        for _, score, square in sorted(rows, key=lambda r: (-r[1], r[0])):
             patch = K.local_patch(known, square.astype(np.float64).reshape(2 * search, 2 * search), half)
             if patch is not None:
                 patches.append(patch)
@@ -95,37 +111,47 @@ def multi_point_stack(frames: DataFrame, ap_size: int = 64, search_radius: int =
         if patches:
             out = K.stacked(np.array(patches), local, np.array(weights), sigma, iterations)
         else:
-            out = K.region(reference, *places[index], half)
-        yield pa.record_batch([pa.array([index], pa.int32()), pa.array([out.ravel()], pa.list_(pa.float64()))], names=["ap_index", "patch"])
+            out = known[search - half : search + half, search - half : search + half]
+        row = [*(k.as_py() for k in key[:-1]), h, w, key[-1].as_py(), cy, cx, out.ravel()]
+        yield pa.record_batch([pa.array([v], f.type) for v, f in zip(row, arrow, strict=True)], schema=arrow)
 
-    stacks = batched(cut).groupBy("ap_index").applyInArrow(local_stack, "ap_index int, patch array<double>")
-    return blend(stacks, grid, shape, ap_size)
+    stacks = batched(cut).groupBy(*keys, "ap_index").applyInArrow(local_stack, schema)
+    return blend(stacks, ap_size, keys)
 
 
-def blend(stacks: DataFrame, grid: list[tuple[int, int, int]], shape: tuple[int, int], ap_size: int) -> DataFrame:
-    """One frame from (ap_index, patch). At most four patches lie over a pixel,
-    so the patches of a capture are about four frames: one task blends them."""
-    places = {i: (cy, cx) for i, cy, cx in grid}
+def blend(stacks: DataFrame, ap_size: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One frame of each capture from (keys, height, width, ap_index, cy, cx, patch).
+    At most four patches lie over a pixel, so the patches of a capture are about
+    four frames: one task blends them."""
     side = ap_size // 2 * 2
+    schema = T.StructType([*(stacks.schema[k] for k in (*keys, "height", "width")), T.StructField("pixels", T.ArrayType(T.FloatType()))])
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
 
     def laid(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patches = [(*places[i], x.values.to_numpy(zero_copy_only=False).reshape(side, side)) for b in batches for i, x in zip(b.column("ap_index").to_pylist(), b.column("patch"), strict=True)]
-        out = K.blended(patches, shape, ap_size)
-        yield pa.record_batch([pa.array([shape[0]], pa.int32()), pa.array([shape[1]], pa.int32()), pa.array([out.ravel().astype(np.float32)], pa.list_(pa.float32()))], names=["height", "width", "pixels"])
-
-    return batched(stacks.withColumn("one", F.lit(0))).groupBy("one").applyInArrow(laid, "height int, width int, pixels array<float>")
-
-
-def surface_warp_stack(frames: DataFrame, ap_size: int = 64, search_radius: int = 16, select: float = 0.25, min_brightness: float = 0.05, metric: str = "laplacian") -> DataFrame:
-    """One row (height, width, pixels): the best frames, warped by the shifts of
-    the alignment points and what lies between them, as a mean by quality."""
-    offsets, reference, grid = _prepared(frames, metric, ap_size, min_brightness)
-    best = quality.select_fraction(quality.score_frames(frames, metric), select).select("frame_index", "score")
-    slim = frames.select("frame_index", "height", "width", "pixels").join(best, "frame_index").join(offsets, "frame_index")
-
-    def warp(a, dy, dx):
-        shifts = K.local_shifts(a, reference, grid, dy, dx, ap_size, search_radius)
+        patches = []
+        for b in batches:
+            h, w = b.column("height")[0].as_py(), b.column("width")[0].as_py()
+            patches += [(i, cy, cx, x.values.to_numpy(zero_copy_only=False).reshape(side, side)) for i, cy, cx, x in zip(*(b.column(c).to_pylist() for c in ("ap_index", "cy", "cx")), b.column("patch"), strict=True)]
+        out = K.blended([p[1:] for p in sorted(patches, key=lambda p: p[0])], (h, w), ap_size)
+        row = [*(k.as_py() for k in key[: len(keys)]), h, w, out.ravel().astype(np.float32)]
+        yield pa.record_batch([pa.array([v], f.type) for v, f in zip(row, arrow, strict=True)], schema=arrow)
+
+    return (batched(stacks).groupBy(*keys) if keys else batched(stacks.withColumn("one", F.lit(0))).groupBy("one")).applyInArrow(laid, schema)
+
+
+def surface_warp_stack(frames: DataFrame, ap_size: int = 64, search_radius: int = 16, select: float = 0.25, min_brightness: float = 0.05, metric: str = "laplacian", keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row (keys, height, width, pixels) for each capture: the best frames,
+    warped by the shifts of the alignment points and what lies between them, as
+    a mean by quality."""
+    offsets, reference = _prepared(frames, metric, ap_size, min_brightness, keys)
+    best = quality.select_fraction(quality.score_frames(frames, metric, keys), select, keys).select(*keys, "frame_index", "score")
+    slim = frames.select(*keys, "frame_index", "height", "width", "pixels").join(best, [*keys, "frame_index"]).join(offsets, [*keys, "frame_index"])
+
+    def warp(a, known, aps, dy, dx):
+        grid = [(p["ap_index"], p["cy"], p["cx"]) for p in aps]
+        shifts = K.local_shifts(a, known, grid, dy, dx, ap_size, search_radius)
         return K.warped(a, *K.shift_field(grid, shifts, dy, dx, a.shape, ap_size))
 
-    moved = map_frames(slim, warp, {"pixels": "array<float>"}, args=("dy", "dx"), drop=("dy", "dx"))
-    return stack.mean_stack(moved, weight="score").select("height", "width", F.col("pixels").cast("array<float>").alias("pixels"))
+    both = align.with_reference(slim, reference, keys, ("pixels", "aps"))
+    moved = map_frames(both, warp, {"pixels": "array<float>"}, pixels=("pixels", "ref_pixels"), args=("ref_aps", "dy", "dx"), drop=("ref_pixels", "ref_aps", "dy", "dx"))
+    return stack.mean_stack(moved, keys, weight="score").select(*keys, "height", "width", F.col("pixels").cast("array<float>").alias("pixels"))

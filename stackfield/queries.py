@@ -7,7 +7,7 @@ Values are rounded once, to DIGITS decimals, where they leave a query.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .frames import map_frames
@@ -344,19 +344,19 @@ def ap_blend(spark, sf_dir):
 
 
 def _enlarged(spark, sf_dir) -> DataFrame:
-    """The frames of one capture, at four times their size, indices from 0."""
-    frames = unit_captures(spark, sf_dir).filter("label = 0")
+    """The frames of all captures, at four times their size, indices from 0 in each capture."""
+    frames = unit_captures(spark, sf_dir)
     big = map_frames(frames, lambda a: (K.resized(a, 4 * SIDE, 4 * SIDE), 4 * SIDE, 4 * SIDE), {"pixels": "array<float>", "height": "int", "width": "int"})
-    order = frames.select("frame_index").groupBy().agg(F.array_sort(F.collect_list("frame_index")).alias("all"))  # indices of one capture
-    return big.crossJoin(F.broadcast(order)).withColumn("frame_index", (F.array_position("all", F.col("frame_index")) - 1).cast("long")).drop("all", "label")
+    order = frames.select("label", "frame_index").withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("frame_index")))
+    return big.join(order, ["label", "frame_index"]).withColumn("frame_index", (F.col("place") - 1).cast("long")).drop("place")
 
 
 def multi_point_stack(spark, sf_dir):
-    return pixel_rows(multipoint.multi_point_stack(_enlarged(spark, sf_dir).persist(), ap_size=16, search_radius=4))
+    return pixel_rows(multipoint.multi_point_stack(_enlarged(spark, sf_dir).persist(), ap_size=16, search_radius=4, keys=KEY), "label")
 
 
 def surface_warp_stack(spark, sf_dir):
-    return pixel_rows(multipoint.surface_warp_stack(_enlarged(spark, sf_dir).persist(), ap_size=16, search_radius=4))
+    return pixel_rows(multipoint.surface_warp_stack(_enlarged(spark, sf_dir).persist(), ap_size=16, search_radius=4, keys=KEY), "label")
 
 
 QUERIES = {f.__name__: f for f in (

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stackfield import queries
 from stackfield.functions import kernels as K
 from stackfield.functions import sql
 from stackfield.operators import align, detect, filters, multipoint, quality, stack
@@ -125,6 +126,23 @@ def test_surface_warp(spark, jitter):
     assert np.corrcoef(out.ravel(), jitter[0].ravel())[0, 1] > 0.95
 
 
+@pytest.mark.parametrize("made", [multipoint.multi_point_stack, multipoint.surface_warp_stack])
+def test_captures_are_stacked_each_by_itself(spark, jitter, made):
+    turned = [np.ascontiguousarray(a.T)[::-1] for a in jitter[2:]]
+    both = frames_of(spark, jitter).withColumn("label", F.lit("a")).unionByName(frames_of(spark, turned).withColumn("label", F.lit("b")))
+    out = {r["label"]: array_of(r) for r in made(both, ap_size=16, search_radius=4, select=0.5, keys=("label",)).collect()}
+    for label, arrays in (("a", jitter), ("b", turned)):
+        assert np.allclose(out[label], array_of(made(frames_of(spark, arrays), ap_size=16, search_radius=4, select=0.5).first()), atol=1e-6)
+
+
+@pytest.mark.parametrize("name", ["multi_point_stack", "surface_warp_stack"])
+def test_stacks_of_points_have_all_captures(spark, name):
+    sf = "/root/testdata/sf0.001"
+    rows = queries.QUERIES[name](spark, sf).groupBy("label").count().collect()
+    labels = {r["label"] for r in queries.captures(spark, sf).select("label").distinct().collect()}
+    assert {r["label"] for r in rows} == labels and len(labels) > 1 and {r["count"] for r in rows} == {1024}
+
+
 def test_dark_frames_have_no_points(spark):
     with pytest.raises(Exception, match="no alignment points"):
         multipoint.multi_point_stack(frames_of(spark, [np.zeros((32, 32))] * 3), ap_size=16)
