@@ -195,6 +195,36 @@ def test_licenses(spark, text, want):
     assert licenses.scan(docs_of(spark, [(1, text)])).first()["licenses"] == want
 
 
+BSD = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright notice.
+ *{advert}
+ * 3. Neither the name of the copyright holder nor the names of its
+ *    contributors may be used to endorse or promote products derived from
+ *    this software without specific prior written permission.
+"""
+
+
+def fsf(what, name, version, sign=":", mark="# "):
+    text = f"This {what} is free software{sign} you can redistribute it and/or modify\nit under the terms of the GNU {name} as published by\nthe Free Software Foundation, either version {version} of the License, or\n(at your option) any later version.\n\nThis {what} is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty."
+    return "".join(f"{mark}{line}\n" for line in text.split("\n"))
+
+
+@pytest.mark.parametrize("text,want", [
+    (fsf("program", "General Public License", 3), ["GPL-3.0-or-later"]), (fsf("program", "General Public License", 2, ";", " * "), ["GPL-2.0-or-later"]), (fsf("library", "Lesser General Public License", 2.1, ";", "// "), ["LGPL-2.1-or-later"]),
+    (fsf("program", "Affero General Public License", 3).replace("\n", "\r\n"), ["AGPL-3.0-or-later"]), (fsf("program", "General Public License", 3).replace("\n# ", " "), ["GPL-3.0-or-later"]),
+    ("it is free software; you can redistribute it and/or modify it\nunder the terms of version 2 of the GNU General Public License as\npublished by the Free Software Foundation.", ["GPL-2.0"]),
+    (BSD.format(advert=""), ["BSD-3-Clause"]), (BSD.split(" *\n")[0], ["BSD-2-Clause"]), (BSD.format(advert="\n * 2. All advertising materials mentioning features or use of this software\n *    must display the following acknowledgement:\n * x.\n *"), ["BSD-4-Clause"]),
+    ("This work is licensed under the\nMIT License.", ["MIT"]), ("My project\nThis work is licensed under the\n  MIT License\nand more", ["MIT"]), ("Released under the MIT License\nLicensed under the Apache License, Version 2.0\nx", ["Apache-2.0", "MIT"]),
+    ("Permission is hereby granted, free of charge, to any person obtaining\na copy of this software, to deal\nin the Software.", ["MIT"]), ("This Source Code Form is subject to the terms of the\nMozilla Public License, v. 2.0.", ["MPL-2.0"]),
+    ("This work is licensed under a Creative Commons\nAttribution-NonCommercial-ShareAlike 4.0 International License.", ["CC-BY-NC-SA-4.0"]), ("To the extent possible under law, Jo has waived\nall copyright and related or neighboring rights to it.", ["CC0-1.0"]),
+    ("The cat is licensed under the\n\nMIT License.", []), ("you can redistribute it and/or modify it.\nthe license", []),
+])
+def test_wrapped_licenses(spark, text, want):
+    assert licenses.scan(docs_of(spark, [(1, text)])).first()["licenses"] == want
+
+
 def test_licenses_of_odd_texts(spark, docs):
     out = licenses.scan(docs).collect()
     assert len(out) == docs.count() and all(r["licenses"] == [] and r["sentences"] == [] for r in out)
