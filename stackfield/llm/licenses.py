@@ -67,7 +67,7 @@ RULES = [
     (r"MPLv([0-9.]+),", "MPL-$1"), (r"Unlicense,", "Unlicense"), (r"PublicDomain,", "Public-Domain"),
 ]
 #: A sentence can be a license sentence only if it has one of these, on one line or wrapped.
-HINT = r"(?i)licen[sc]e|public\W+domain|permission|redistribution|later\W+version|compliance|endorse|rights\W+reserved|cc0|\bgpl|warrant|as\W+is|advertising\W+materials|waived"
+HINT = r"(?i)licen[sc]e|public\W+domain|permission|redistribution|later\W+version|compliance|endorse|rights\W+reserved|creative\W+commons|\bcc(?:0|by|zero)?\b|\bgpl|warrant|as\W+is|hope\W+that|advertising\W+materials|waived"
 #: Sentence ends (not the point of 'v. 2.0') and lines without letters and digits.
 ENDS = r"(?<=[.!?;])(?<!\b[vV]\.)\s+|\n[^\p{L}\p{N}\n]*\n\s*"
 #: A license sentence in a normalised piece, whose line breaks are |: whole lines, however they are wrapped.

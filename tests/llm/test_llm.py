@@ -225,6 +225,22 @@ def test_wrapped_licenses(spark, text, want):
     assert licenses.scan(docs_of(spark, [(1, text)])).first()["licenses"] == want
 
 
+#: Of each identifier the sentences that have the fewest words of HINT.
+LICENSE_SENTENCES = {
+    "CCBY-SAv4.0": ["This work is released under Creative Commons BY-SA 4.0.", "Available under\nCreative\nCommons BY-SA 4.0"], "CCBYv4.0": ["Available under CC BY 4.0.", "Available under CCBY 4.0", "Released under Creative Commons Attribution 4.0"], "CCBY-NCv3.0": ["Distributed under CC BY-NC 3.0."], "CC0": ["Available under CC0", "Available under CC zero."],
+    "GPLshort3": ["Released under the GPL v3.", "Released under GPLv3."], "NoWarranty": ["This software is provided as is.", "This program is distributed in the hope that it will be useful."], "PublicDomain": ["In the public\ndomain.", "Dedicated to the public domain"], "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "OrLater": ["or any later\nversion", "Or at your option any later version."], "AllRights": ["All rights\nreserved."], "ApacheMayNot": ["You may not use this file except in compliance with the licence."], "GPLv3": ["GNU General Public Licence v3"], "LGPLv2.1": ["GNU Library General Public License version 2.1"], "AGPLv3": ["Affero General Public License version 3"],
+    "BSDendorse": ["Neither the name of Jo may be used to endorse or promote products derived from this software."], "BSDredist": ["Redistribution and use in source and binary forms are".replace(" are", ", with or without modification, are permitted.")], "BSDadvert": ["All advertising\nmaterials mentioning features or use of this software must display the following acknowledgment"],
+    "MITperm": ["Permission is hereby granted, free of charge, to any person obtaining a copy."], "MITname": ["Available under the MIT licence"], "ApacheV2": ["Available under the Apache License 2.0"], "BSDname": ["Available under a BSD style license"], "MPLv2.0": ["Subject to the Mozilla Public License version 2.0"], "CCwaived": ["To the extent possible under law, Jo waived all copyright"],
+}
+
+
+def test_license_sentences_pass_the_hint(spark):
+    rows = [(i, want, text) for i, (want, text) in enumerate((w, t) for w, texts in LICENSE_SENTENCES.items() for t in texts)]
+    out = {r["doc_id"]: r["sentences"] for r in licenses.scan(docs_of(spark, [(i, t) for i, _, t in rows])).collect()}
+    assert {i: out[i] for i, _, _ in rows} == {i: [w] for i, w, _ in rows}
+
+
 def test_licenses_of_odd_texts(spark, docs):
     out = licenses.scan(docs).collect()
     assert len(out) == docs.count() and all(r["licenses"] == [] and r["sentences"] == [] for r in out)
