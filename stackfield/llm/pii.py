@@ -10,12 +10,15 @@ have different surrogates, and the same entity has the same one wherever it
 stands and however it is spaced or capitalised. Known given names move within
 the list of their gender and script. A check over all entities finds surrogates
 that two entities share or that some text has as an entity of its own, and these
-get another key. DataFrame functions only; the surrogates of a row are made in
+get another key; those that clash under every key (a format all of whose values
+are taken) get a keyed digest in the place of a surrogate. DataFrame functions only; the surrogates of a row are made in
 the row, so texts are not shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +53,10 @@ _CAPITAL = rf"(?=\p{{Lu}})(?:{IBAN}|{NAME})"
 #: Of texts with @, of others with digits, of all others; the first finds all of them.
 ENTITY = f"{EMAIL}|{_NUMBERS}|{_CAPITAL}"
 _NO_EMAIL, _NO_DIGITS = f"{_NUMBERS}|{_CAPITAL}", _NAMED
-#: Entities with another key that are named in the plan, at most; the check keeps them few.
+#: Entities with another key that are named in the plan, at most; more of them are joined to the texts.
 EXCEPTIONS = 5000
+#: Keys that are tried; an entity that clashes under all of them gets a digest.
+TURNS = 8
 
 
 def _q(s: str) -> str:
@@ -142,10 +147,11 @@ def surrogate_sql(e: str, kind: str, key: str) -> str:
     return f"CASE {kind} WHEN 'email' THEN {email} WHEN 'ipv4' THEN {_ipv4(e, key)} WHEN 'card' THEN {_card(e, key)} WHEN 'phone' THEN {phone} WHEN 'iban' THEN {iban} WHEN 'name' THEN {_person(e, key)} ELSE {permuted(e, key)} END"
 
 
-def _keyed(secret: str, kind: str, norm: str, exceptions: dict[str, int]) -> str:
-    """The key of an entity: another one for those in exceptions."""
-    again = "".join(f"WHEN {norm} IN ({', '.join(_q(n) for n, t in exceptions.items() if t == turn)}) THEN '#{turn}' " for turn in sorted(set(exceptions.values())))
-    return f"concat({_q(secret)}, {kind}, {f'CASE {again} ELSE {_q("")} END' if again else _q('')})"
+def _new(secret: str, x: str) -> str:
+    """What stands in the place of the entity x (e, kind, norm, turn): turn, where it is not null, changes the key."""
+    key = f"concat({_q(secret)}, {x}.kind, coalesce(concat('#', {x}.turn), ''))"
+    digest = f"concat('[', {x}.kind, ' ', substring(sha2(concat({_q(secret)}, {x}.norm), 256), 1, 24), ']')"
+    return f"if(coalesce({x}.turn, 0) > {TURNS}, {digest}, {surrogate_sql(f'{x}.e', f'{x}.kind', key)})"
 
 
 def found_sql(text: str) -> str:
@@ -154,11 +160,20 @@ def found_sql(text: str) -> str:
     return f"CASE WHEN contains({text}, '@') THEN {by(ENTITY)} WHEN {text} rlike '[0-9]' THEN {by(_NO_EMAIL)} ELSE {by(_NO_DIGITS)} END"
 
 
-def _entities(text: str, secret: str, exceptions: dict[str, int]) -> str:
-    """SQL of the array of (e, kind, norm, new) of the entities of text."""
+def _normed(text: str) -> str:
+    """SQL of the array of (e, kind, norm) of the entities of text."""
     found = f"transform({found_sql(text)}, e -> named_struct('e', e, 'kind', {kind_sql('e')}))"
-    normed = f"transform({found}, x -> named_struct('e', x.e, 'kind', x.kind, 'norm', {norm_sql('x.e', 'x.kind')}))"
-    return f"transform({normed}, x -> named_struct('e', x.e, 'kind', x.kind, 'norm', x.norm, 'new', {surrogate_sql('x.e', 'x.kind', _keyed(secret, 'x.kind', 'x.norm', exceptions))}))"
+    return f"transform({found}, x -> named_struct('e', x.e, 'kind', x.kind, 'norm', {norm_sql('x.e', 'x.kind')}))"
+
+
+def _entities(text: str, secret: str, turn: Callable[[str], str]) -> str:
+    """SQL of the array of (e, kind, norm, new) of the entities of text; turn gives the SQL of the turn of a norm."""
+    turned = f"transform({_normed(text)}, x -> named_struct('e', x.e, 'kind', x.kind, 'norm', x.norm, 'turn', {turn('x.norm')}))"
+    return f"transform({turned}, x -> named_struct('e', x.e, 'kind', x.kind, 'norm', x.norm, 'new', {_new(secret, 'x')}))"
+
+
+def _first_key(norm: str) -> str:
+    return "cast(null as int)"
 
 
 def clashes(entities: DataFrame) -> DataFrame:
@@ -171,20 +186,29 @@ def clashes(entities: DataFrame) -> DataFrame:
     return twice.union(real).distinct()
 
 
-def find_exceptions(rows: DataFrame, secret: str, turns: int = 8) -> dict[str, int]:
-    """Which entities of rows (text) need another key, and which."""
-    exceptions: dict[str, int] = {}
-    kept = saved(rows.select(F.explode(F.expr(found_sql("text"))).alias("e")).groupBy("e").count().select("e"), "entities")
-    for turn in range(1, turns + 1):
-        each = kept.select(F.expr(_entities("e", secret, exceptions)).getItem(0).alias("x")).select("x.norm", F.expr(norm_sql("x.new", "x.kind")).alias("new_norm"))
-        each = saved(each.filter("norm IS NOT NULL").distinct(), "surrogates")
-        found = [r[0] for r in clashes(each).limit(EXCEPTIONS + 1).collect()]
-        if not found:
+def find_exceptions(rows: DataFrame, secret: str) -> DataFrame | None:
+    """(norm, turn) of the entities of rows (text) that need another key, and
+    which; a turn above TURNS is a digest. None if there are none."""
+    exceptions = None
+    found = rows.select(F.explode(F.expr(found_sql("text"))).alias("e")).groupBy("e").count().select("e")
+    kept = saved(found.select("e", F.expr(_normed("e")).getItem(0)["norm"].alias("norm")).filter("norm IS NOT NULL"), "entities")
+    for turn in range(1, TURNS + 1):
+        turned = kept if exceptions is None else kept.join(exceptions, "norm", "left")
+        each = turned.select(F.expr(_entities("e", secret, _first_key if exceptions is None else lambda norm: "turn")).getItem(0).alias("x")).select("x.norm", F.expr(norm_sql("x.new", "x.kind")).alias("new_norm"))
+        again = saved(clashes(saved(each.distinct(), "surrogates")), "clashes")
+        if again.isEmpty():
             return exceptions
-        exceptions |= dict.fromkeys(found, turn)
-        if len(exceptions) > EXCEPTIONS:
-            raise RuntimeError("too many surrogates clash: the formats have too few values for these entities")
-    raise RuntimeError("some surrogates clash under every key")
+        again = again.withColumn("turn", F.lit(turn if turn < TURNS else TURNS + 1))
+        exceptions = again if exceptions is None else saved(exceptions.join(again, "norm", "left_anti").unionByName(again), "exceptions")
+    return exceptions
+
+
+def _with_turns(rows: DataFrame, exceptions: DataFrame) -> DataFrame:
+    """rows with __turns, a map from the norms among its entities that are exceptions to their turns."""
+    rows = saved(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    norms = rows.select("__row", F.explode(F.array_distinct(F.transform(F.expr(_normed("text")), lambda x: x["norm"]))).alias("norm"))
+    turns = norms.join(exceptions, "norm").groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("norm", "turn"))).alias("__turns"))  # of one text
+    return rows.join(turns, "__row", "left")
 
 
 def surrogates(docs: DataFrame, secret: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,8 +220,13 @@ def surrogates(docs: DataFrame, secret: str, id_col: str = "doc_id", text_col: s
     columns are ignored. Letters outside the classes stay as they are.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    exceptions = find_exceptions(rows, secret)
-    out = rows.withColumn("x", F.expr(_entities("text", secret, exceptions)))
+    exceptions, turn = find_exceptions(rows, secret), _first_key
+    if exceptions is not None and len(few := exceptions.limit(EXCEPTIONS + 1).collect()) <= EXCEPTIONS:
+        by = {t: ", ".join(_q(r["norm"]) for r in few if r["turn"] == t) for t in sorted({r["turn"] for r in few})}
+        turn = lambda norm: f"CASE {' '.join(f'WHEN {norm} IN ({norms}) THEN {t}' for t, norms in by.items())} END"
+    elif exceptions is not None:
+        rows, turn = _with_turns(rows, exceptions), lambda norm: f"try_element_at(__turns, {norm})"
+    out = rows.withColumn("x", F.expr(_entities("text", secret, turn)))
     joined = F.expr(f"array_join(zip_with(split(text, {_q(ENTITY)}, -1), transform(x, y -> y.new), (p, n) -> concat(p, coalesce(n, ''))), '')")
     n = F.greatest(F.size("x"), F.lit(0))
     return out.select("doc_id", F.when(n > 0, joined).otherwise(F.col("text")).alias("text"), n.cast("long").alias("n_entities"), F.coalesce(F.array_sort(F.array_distinct(F.transform("x", lambda y: y["kind"]))), F.array().cast("array<string>")).alias("kinds"))

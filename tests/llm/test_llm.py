@@ -161,6 +161,19 @@ def test_clashes_get_another_key(spark):
     assert sorted(r["norm"] for r in pii.clashes(e).collect()) == ["b", "c"]
 
 
+def test_any_number_of_clashes_is_resolved(spark, monkeypatch):
+    """All 25 surnames of two vowels: whatever the key, a surrogate is one of them."""
+    names = [f"Mr {a.upper()}{b}" for a in "aeiou" for b in "aeiou"]
+    rows = docs_of(spark, [(i, f"{n} and {n} met user{i}@example.org") for i, n in enumerate(names)] + [(99, None), (100, "no one"), (100, "no one")])
+    sets = []
+    for most in (5000, 3):
+        monkeypatch.setattr(pii, "EXCEPTIONS", most)
+        sets.append(sorted((r["doc_id"], r["text"], r["n_entities"]) for r in pii.surrogates(rows, "k").collect() if r["text"] is not None))
+    assert sets[0] == sets[1] and len(sets[0]) == 27
+    made = [re.fullmatch(r"(.*) and \1 met \S+", t) for _, t, _ in sets[0][:25]]
+    assert len({m[1] for m in made}) == 25 and not {m[1] for m in made} & set(names)
+
+
 # --- URLs --------------------------------------------------------------------
 
 
