@@ -3,7 +3,8 @@
 Addresses, phone and card numbers, IP addresses, social security and bank
 account numbers and names are detected and replaced. A surrogate is a keyed
 permutation of the entity within its type and format: each letter or digit moves
-within its class (vowels, consonants, digits; each script by itself; case kept)
+within its class (vowels, consonants, digits; small and capital letters of each
+other script by themselves; case kept)
 by a step that depends on the key and on what stands before it, once forwards
 and once backwards; other characters stay. Different entities of a type thus
 have different surrogates, and the same entity has the same one wherever it
@@ -17,6 +18,8 @@ the row, so texts are not shuffled.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -70,7 +73,21 @@ def _step(seed: str, n: str) -> str:
 
 #: The classes, small and capital letters apart (capitals only where each letter has one).
 _LETTERS = [*dict.fromkeys(x for a in CLASSES for x in (a, a.upper() if len(a.upper()) == len(a) else a)), "0123456789"]
-_CLASSES = f"split({_q(' '.join(_LETTERS))}, ' ')"
+
+
+def _other_letters() -> list[str]:
+    """The small and the capital letters of each further script, and those that CLASSES leaves out of its own."""
+    known, by = set("".join(_LETTERS)), {}
+    for c in map(chr, range(128, sys.maxunicode + 1)):
+        if c not in known and (kind := unicodedata.category(c)) in ("Lu", "Ll"):
+            by.setdefault((unicodedata.name(c).split()[0], kind), []).append(c)
+    alone = {kind: "".join(x[0] for (_, k), x in by.items() if k == kind and len(x) == 1) for kind in ("Lu", "Ll")}
+    return ["".join(x) for x in by.values() if len(x) > 1] + [x for x in alone.values() if len(x) > 1]
+
+
+_ASCII = f"split({_q(' '.join(x for x in _LETTERS if x.isascii()))}, ' ')"
+_ALL = f"split({_q(' '.join([*_LETTERS, *_other_letters()]))}, ' ')"
+_CLASSES = f"if(ascii(c) < 128, {_ASCII}, {_ALL})"
 
 
 def _pass(s: str, key: str) -> str:
@@ -217,7 +234,7 @@ def surrogates(docs: DataFrame, secret: str, id_col: str = "doc_id", text_col: s
 
     A null text stays null; an empty text, and one without entities, stays as it
     is; equal texts have equal results; an empty table gives no rows; further
-    columns are ignored. Letters outside the classes stay as they are.
+    columns are ignored. Letters without case stay as they are.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     exceptions, turn = find_exceptions(rows, secret), _first_key
