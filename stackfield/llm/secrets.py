@@ -74,6 +74,10 @@ def default_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
     hexes, b64, alnum = "0123456789abcdef", string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits
     word = lambda: r.choice(WORDS)
     noise = lambda: " ".join(run(string.ascii_lowercase, r.randint(2, 8)) for _ in range(r.randint(0, 5))) + r.choice([" ", "\n", ". "])
+    def long_name() -> str:
+        name = "_".join([*r.choices(WORDS, k=r.randint(1, 2)), r.choice("secret_token access_key secret_access_key api_key auth_token private_key client_secret database_password".split())])
+        return r.choice([str, str.upper])(name.rjust(16, "x"))
+
     syllables = "th he in er an re on at en nd ti es or st to nt ou tion ing ble ed ha ly wh ment heit lich ung el le eau ado que".split()
     out = []
     for i in range(n):
@@ -81,7 +85,9 @@ def default_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
             c = r.choice([lambda: run(hexes, r.choice([32, 40, 40, 48, 64])), lambda: run(hexes.upper(), r.choice([32, 40, 64])), lambda: run(b64, r.randint(20, 86)) + r.choice(["", "=", "=="]), lambda: run(alnum, r.randint(20, 64)), lambda: "AKIA" + run(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + run(alnum, 36), lambda: "sk_live_" + run(alnum, 24), lambda: "eyJ" + run(b64.replace("+/", "-_"), r.randint(30, 120)), lambda: run(alnum + "_-", r.randint(24, 44))])()
             name = r.choice(["token", "api_key", "apikey", "secret", "password", "passwd", "auth_token", "access_key", "private key", "client_secret", "API-KEY", "Secret", "credential", "TOKEN", "access_token"])
             left = noise() + name + r.choice([' = "', '="', ": ", "=", ' : "', " = '", '": "', " is ", " "])
-            if r.random() < 0.15:
+            if r.random() < 0.25:  # names that are candidates themselves
+                left = noise() + long_name() + r.choice(["=", "=", '="', " = ", ": "])
+            elif r.random() < 0.15:
                 left = noise() + r.choice(["Authorization: Bearer ", "login ", "auth "])
             if c.startswith(("AKIA", "ghp_", "sk_live_")) and r.random() < 0.5:
                 left = noise()
@@ -90,7 +96,7 @@ def default_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
                 right = '"' + noise()
             out.append((left[-NEAR:], c, right[:NEAR], 1))
             continue
-        kind = r.randrange(10)
+        kind = r.randrange(11)
         left, right = noise(), r.choice(["", " ", ".", ",", "\n"]) + noise()
         if kind in (0, 1):  # long words, plain or in capitals
             c = "".join(r.choices(syllables, k=12))[: r.randint(16, 30)]
@@ -117,6 +123,9 @@ def default_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
             c = r.choice(["x" * r.randint(16, 40), "your_api_key_here", "your-access-token-here", "0" * r.randint(16, 40), "example_secret_key", "=" * 4 + "-" * r.randint(16, 60), "_" * r.randint(16, 50), "placeholder_token_value", "XXXXXXXX-XXXX-XXXX"])
             left += r.choice(["token = ", 'api_key = "', "password: ", ""])
             c = c.lstrip("=").ljust(16, "x")
+        elif kind == 9:  # such names, before what they name
+            c = long_name() + r.choice(["=", "=", ""])
+            right = r.choice([run(hexes, 40), run(alnum, 32), run(b64, 44), '"' + run(alnum, 24) + '"']) if c.endswith("=") else r.choice([": ", ' = "', "\n"]) + run(alnum, 24)
         else:
             c = run(b64, r.randint(40, 120))
             left += r.choice(["data:image/png;base64,", "base64,", "image: ", "trace "])
@@ -196,11 +205,16 @@ def fit(spark: SparkSession, findings: list[tuple[str, str, str, int]] | None =
 
 
 def _scanned(docs: DataFrame, forest: Forest, threshold: float, text_col: str) -> DataFrame:
-    """docs with __parts, __cands, __scores: the text between candidates, these and their scores."""
+    """docs with __parts, __cands, __starts, __scores: the text between candidates,
+    these, where they start, and their scores. What is near a candidate is the
+    text around it, other candidates included."""
     text = f"`{text_col}`"
     out = docs.withColumn("__cands", F.expr(f"regexp_extract_all({text}, r'{CANDIDATE}', 0)"))
     out = out.withColumn("__parts", F.expr(f"if(size(__cands) > 0, split({text}, r'{CANDIDATE}', -1), array({text}))"))
-    places = f"transform(__cands, (c, i) -> named_struct('c', c, 'l', right(__parts[i], {NEAR}), 'r', left(__parts[i + 1], {NEAR})))"
+    starts = "aggregate(__cands, named_struct('i', 0, 'at', 0, 'all', cast(array() as array<int>)), (a, c) -> named_struct('i', a.i + 1, 'at', a.at + length(__parts[a.i]) + length(c), 'all', array_append(a.all, a.at + length(__parts[a.i]))), a -> a.all)"
+    out = out.withColumn("__starts", F.expr(starts))
+    left = f"substring({text}, greatest(__starts[i] - {NEAR}, 0) + 1, least(__starts[i], {NEAR}))"
+    places = f"transform(__cands, (c, i) -> named_struct('c', c, 'l', {left}, 'r', substring({text}, __starts[i] + length(c) + 1, {NEAR})))"
     xs = f"transform({places}, p -> {feature_sql('p.c', 'p.l', 'p.r')})"
     return out.withColumn("__scores", F.expr(f"transform({xs}, x -> {forest.sql('x')})"))
 
@@ -215,8 +229,7 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, id_col:
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out = _scanned(base, forest, threshold, "text")
-    starts = "transform(__cands, (c, i) -> aggregate(slice(__parts, 1, i + 1), 0, (s, p) -> s + length(p)) + aggregate(slice(__cands, 1, i), 0, (s, p) -> s + length(p)))"
-    all_ = F.expr(f"transform(arrays_zip(__cands, __scores, {starts}), z -> named_struct('start', cast(z['2'] as bigint), 'length', cast(length(z.__cands) as bigint), 'score', z.__scores))")
+    all_ = F.expr("transform(arrays_zip(__cands, __scores, __starts), z -> named_struct('start', cast(z.__starts as bigint), 'length', cast(length(z.__cands) as bigint), 'score', z.__scores))")
     secrets = F.filter(all_, lambda s: s["score"] >= threshold)
     return out.select("doc_id", F.size("__cands").cast("long").alias("n_candidates"), secrets.alias("secrets")).select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), "secrets")
 
@@ -226,4 +239,4 @@ def redact(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, text_c
     out = _scanned(docs, forest, threshold, text_col)
     clean = F.expr(f"array_join(transform(__parts, (p, i) -> concat(p, if(i < size(__cands), if(__scores[i] >= {threshold}, '{replacement}', __cands[i]), ''))), '')")
     new = F.when(F.exists("__scores", lambda s: s >= threshold), clean).otherwise(F.col(text_col))
-    return out.withColumn(text_col, new).drop("__cands", "__parts", "__scores")
+    return out.withColumn(text_col, new).drop("__cands", "__parts", "__starts", "__scores")

@@ -454,6 +454,19 @@ def test_secrets(spark):
     assert secrets.redact(docs_of(spark, texts), forest).columns == docs_of(spark, texts).columns
 
 
+def test_secrets_after_long_names(spark):
+    """A name of 16 letters is a candidate too, and stands near the next one all the same."""
+    forest, r = secrets.fit(spark), np.random.default_rng(5)
+    run = lambda n, chars="0123456789abcdef": "".join(r.choice(list(chars), n))
+    names = ["AWS_SECRET_ACCESS_KEY=", "stripe_secret_token=", "database_password: ", "MY_SERVICE_API_KEY=", 'application_client_secret="']
+    values = [run(40), run(40), run(32), run(32), run(48)]
+    texts = [(i, f"é {n}{v}" + ('"' if n.endswith('"') else "") + "\nend") for i, (n, v) in enumerate(zip(names, values, strict=True))]
+    near = secrets._scanned(docs_of(spark, texts), forest, 0.5, "text").selectExpr("doc_id", "element_at(__cands, -1) AS c", "element_at(__starts, -1) AS at").collect()
+    assert all(x["c"] == values[x["doc_id"]] and x["at"] == len(f"é {names[x['doc_id']]}") for x in near)
+    out = {x["doc_id"]: x["text"] for x in secrets.redact(docs_of(spark, texts), forest).collect()}
+    assert all(out[i] == t.replace(values[i], "[SECRET]") for i, t in texts)
+
+
 # --- the pipeline ------------------------------------------------------------
 
 
