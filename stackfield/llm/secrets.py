@@ -1,6 +1,9 @@
 """Secret scans: candidates by their form, false ones removed by a random forest.
 
-A candidate is a run of letters, digits and signs of encodings. Its features are
+A candidate is a run of 16 or more letters, digits and signs of encodings, or,
+after a word of secrets and an assignment, a value of 6 or more non-space signs.
+Shorter values, those without such a word and assignment before them on the
+line, and what follows a space or quote in a value are not seen. Its features are
 its length, its characters and their transitions, how much of it words cover,
 whether it stands in a path, and the words near it. The forest is fitted on
 labelled findings, on the driver, and applied as expressions over arrays: the
@@ -17,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
+RUN = r"[A-Za-z0-9+/_\-]{16,}+={0,2}+"
 NEAR = 48
 THRESHOLD = 0.5
 REPLACEMENT = "[SECRET]"
@@ -31,8 +34,14 @@ PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng
 SECRET_WORDS = "token|secret|passw|pwd|api|key|auth|bearer|credential|private|access|login|signature"
 OTHER_WORDS = "commit|sha1|sha256|sha|md5|hash|checksum|digest|revision|rev|uuid|guid|etag|integrity|example|sample|placeholder|dummy|your|image|base64|fingerprint|build|version|trace"
 PREFIXES = "AKIA|ASIA|ghp_|gho_|github_pat_|sk_live_|rk_live_|sk-|xox[abp]-|AIza|eyJ|glpat-|npm_|SG\\."
+#: After a word near secrets, what may end its name, and an assignment; the first test is quick.
+ASSIGNED = rf"(?<=[:=\s\x22\x27`])(?<=[:=][\s&&[^\r\n]]{{0,2}}[\x22\x27`]?)(?<=(?i:{SECRET_WORDS})[A-Za-z0-9_-]{{0,16}}[\x22\x27`\]]{{0,2}}[\s&&[^\r\n]]{{0,2}}[:=]{{1,2}}[\s&&[^\r\n]]{{0,2}}[\x22\x27`]?)"
+#: A value of any signs but spaces and quotes; what closes a sentence or bracket after it stays.
+VALUE = r"[^\s\x22\x27`=:][^\s\x22\x27`]{4,}[^\s\x22\x27`.,;:)\]}>]"
+#: A run that ends where a value can end, a value, or any run.
+CANDIDATE = rf"{RUN}(?=[\s\x22\x27`,;&)\]}}<>]|\.[a-z]{{2,4}}\b|\.?(?:\s|$))|{ASSIGNED}{VALUE}|{RUN}"
 
-FEATURES = ("length", "transitions", "common_pairs", "coverage", "in_path", "slashes", "secret_word", "other_word", "assigned", "quoted", "digit_share", "upper_share", "hex", "letters_only", "digits_only", "distinct_share", "known_prefix", "uuid", "repeats", "separators")
+FEATURES = ("length", "transitions", "common_pairs", "coverage", "in_path", "slashes", "secret_word", "other_word", "assigned", "quoted", "digit_share", "upper_share", "hex", "letters_only", "digits_only", "distinct_share", "known_prefix", "uuid", "repeats", "separators", "signs", "code")
 
 
 def feature_sql(c: str, left: str, right: str) -> str:
@@ -61,6 +70,8 @@ def feature_sql(c: str, left: str, right: str) -> str:
         flag("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"),
         f"{count(r'(.)\\1\\1')} / {n}",
         f"{count('[_-]')} / {n}",
+        f"{count('[^A-Za-z0-9]')} / {n}",
+        flag(r"[({<\[*]|^\$|^[A-Za-z_]+[.][A-Za-z_.]+$|://"),
     ]
     return f"array({', '.join(f'cast({p} as double)' for p in parts)})"
 
@@ -74,6 +85,13 @@ def default_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
     hexes, b64, alnum = "0123456789abcdef", string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits
     word = lambda: r.choice(WORDS)
     noise = lambda: " ".join(run(string.ascii_lowercase, r.randint(2, 8)) for _ in range(r.randint(0, 5))) + r.choice([" ", "\n", ". "])
+    def password() -> str:
+        """Of at least three of small letters, capitals, digits and signs."""
+        while True:
+            p = run(r.choice([alnum, alnum, alnum + "!#$%&*+-.@?^_~"]), r.randint(8, 20))
+            if sum(any(map(t, p)) for t in (str.islower, str.isupper, str.isdigit, lambda x: not x.isalnum())) >= 3 and p[0] not in "=:" and p[-1] not in ".":
+                return p
+
     def long_name() -> str:
         name = "_".join([*r.choices(WORDS, k=r.randint(1, 2)), r.choice("secret_token access_key secret_access_key api_key auth_token private_key client_secret database_password".split())])
         return r.choice([str, str.upper])(name.rjust(16, "x"))
@@ -89,6 +107,12 @@ def default_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
                 left = noise() + long_name() + r.choice(["=", "=", '="', " = ", ": "])
             elif r.random() < 0.15:
                 left = noise() + r.choice(["Authorization: Bearer ", "login ", "auth "])
+            if r.random() < 0.25:  # short values, after an assignment
+                c = password()
+                left = noise() + r.choice([name, long_name()]) + r.choice([' = "', '="', ": ", "=", ' : "', " = '", '": "'])
+                right = '"' + noise() if left.endswith('"') else r.choice([" ", "\n", "'"]) + noise()
+                out.append((left[-NEAR:], c, right[:NEAR], 1))
+                continue
             if c.startswith(("AKIA", "ghp_", "sk_live_")) and r.random() < 0.5:
                 left = noise()
             right = r.choice(['"', '"', "'", "", " ", "\n"]) + noise()
@@ -96,7 +120,7 @@ def default_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
                 right = '"' + noise()
             out.append((left[-NEAR:], c, right[:NEAR], 1))
             continue
-        kind = r.randrange(11)
+        kind = r.randrange(13)
         left, right = noise(), r.choice(["", " ", ".", ",", "\n"]) + noise()
         if kind in (0, 1):  # long words, plain or in capitals
             c = "".join(r.choices(syllables, k=12))[: r.randint(16, 30)]
@@ -123,6 +147,10 @@ def default_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
             c = r.choice(["x" * r.randint(16, 40), "your_api_key_here", "your-access-token-here", "0" * r.randint(16, 40), "example_secret_key", "=" * 4 + "-" * r.randint(16, 60), "_" * r.randint(16, 50), "placeholder_token_value", "XXXXXXXX-XXXX-XXXX"])
             left += r.choice(["token = ", 'api_key = "', "password: ", ""])
             c = c.lstrip("=").ljust(16, "x")
+        elif kind >= 11:  # plain values, after the words and assignments of secrets
+            c = r.choice([lambda: word().rjust(6, "a"), lambda: word().capitalize().ljust(6, "s") + r.choice(["", ","]), lambda: "".join(r.choices(syllables, k=8))[: r.randint(6, 15)], lambda: run("0123456789", r.randint(6, 10)), lambda: "-".join(r.choices(WORDS, k=2)).ljust(6, "s"), lambda: "_".join(r.choices(WORDS, k=2)).ljust(6, "s"),
+                          lambda: word() + "." + word() + r.choice(["", "()", "(" + word() + ")"]) + "s", lambda: "${" + word().upper() + "_" + word().upper() + "}s", lambda: "<" + word() + "-" + word(), lambda: run("*", r.randint(6, 12)), lambda: "https://" + word() + ".example.com/" + word(), lambda: "/" + word() + "/" + word() + "s", lambda: "changeme", lambda: "your_" + word() + "_here", lambda: r.choice(["required", "optional", "string", "undefined", "password", "disabled", "example"])])()
+            left += r.choice(["token", "api_key", "key", "secret", "password", "passwd", "auth", "login", "access", "private", "signature"]) + r.choice([' = "', '="', ": ", "=", " = '", '": "', " = "])
         elif kind == 9:  # such names, before what they name
             c = long_name() + r.choice(["=", "=", ""])
             right = r.choice([run(hexes, 40), run(alnum, 32), run(b64, 44), '"' + run(alnum, 24) + '"']) if c.endswith("=") else r.choice([": ", ' = "', "\n"]) + run(alnum, 24)

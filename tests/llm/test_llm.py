@@ -467,6 +467,17 @@ def test_secrets_after_long_names(spark):
     assert all(out[i] == t.replace(values[i], "[SECRET]") for i, t in texts)
 
 
+def test_short_secrets_after_an_assignment(spark):
+    forest = secrets.fit(spark)
+    values = ["Xk9fQ2mLp7", "Tr0ub4dor!x#2024-zz", "v7#Kq2!xZ9pL", "8fJ2mQx91Rt"]
+    forms = ["password={}", "see DB_PASSWORD = {} there", 'é {{"client_secret": "{}"}}', "login token: {}\nnext", "the passwd='{}'."]
+    texts = [(k * 10 + i, f.format(v)) for i, f in enumerate(forms) for k, v in enumerate(values)]
+    plain = ["password: required", "the key: another word", "token = self.token_value()", "access: everyone can", "password = getpass()", "secret=", "Xk9fQ2mLp7 alone", "api: documentation", "password: "]
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs_of(spark, texts + list(enumerate(plain, 1000))), forest).collect()}
+    assert {i: out[i] for i, _ in texts} == {i: t.replace(values[i // 10], "[SECRET]") for i, t in texts}
+    assert [out[i] for i, _ in enumerate(plain, 1000)] == plain
+
+
 # --- the pipeline ------------------------------------------------------------
 
 
