@@ -61,10 +61,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = ARROW_ROWS) -> DataFrame:
-    """mapInArrow over small batches."""
+    """mapInArrow; f gets batches of at most `rows` rows. Spark bounds the bytes
+    of what it sends (spark.sql.execution.arrow.maxBytesPerBatch)."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return f(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+
+    return df.mapInArrow(run, schema)
 
 
 def ascii_lower(col):

@@ -12,12 +12,14 @@ tokens in either pass.
 from __future__ import annotations
 
 import os
-import struct
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
+from operator import attrgetter
 from unicodedata import is_normalized
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +28,8 @@ from .common import TOKENS_KEPT, arrow_map, saved
 
 #: Totals of partitions joined by broadcast: 16 bytes each, so 16 MB at most.
 TOTALS_BROADCAST = 1_000_000
-
-_tokens: dict[str, tuple] = {}
-
+#: Bytes of ids of a batch, or one document's.
+MOST_BYTES = 1 << 28
 
 #: The byte-level alphabet: visible Latin-1 characters stand for themselves, other bytes for those from U+0100 on.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -38,66 +39,116 @@ _BYTES = dict(zip([b for b in range(256) if b not in _VISIBLE], range(256, 512),
 _SIGNS = ".,!?;:*#$%&)\"="
 
 
-def pack_ids(ids: list[int]) -> bytes:
-    """Little-endian unsigned 32-bit numbers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+_ID = attrgetter("id")
+
 
+def _strings(a: pa.Array) -> list[str]:
+    return a.to_numpy(zero_copy_only=False).tolist()
 
-class _Ids(dict):
-    """Token to its ids as little-endian unsigned 32-bit numbers."""
 
-    def __init__(self, path: str):
+class _Table:
+    """The ids of tokens (what stands between ASCII white space): token number i
+    has sizes[i] ids from starts[i] in flat. Token 0 is the end of a document."""
+
+    def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.merges = self.tokenizer.model.tokenize
-        self.bodies: dict[str, bytes] = {"": b""}
-
-    def learn(self, tokens: set[str]) -> None:
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self._empty()
+
+    def _empty(self) -> None:
+        self.known = pa.array([None], pa.string())
+        self.flat = np.array([self.end_id], dtype=np.uint32)
+        self.starts, self.sizes, self.seen = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64), np.zeros(1, dtype=np.int32)
+
+    def numbers(self, tokens: pa.Array) -> np.ndarray:
+        """The number of each of the distinct tokens; new ones are learned."""
+        at = pc.fill_null(pc.index_in(tokens, self.known, skip_nulls=True), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(self.known) + len(new) > TOKENS_KEPT and len(new) and len(self.known) > 1:
+            self._forget()
+            return self.numbers(tokens)
+        if len(new):
+            at[new] = len(self.known) + np.arange(len(new))
+            self._learn(tokens.take(pa.array(new)))
+        self.seen[at] += 1
+        return at
+
+    def _forget(self) -> None:
+        """Keep the tokens of more than one batch, if they are few enough."""
+        often = np.flatnonzero(self.seen > 1)
+        known, flat, starts, sizes = self.known, self.flat, self.starts, self.sizes
+        self._empty()
+        if 0 < len(often) <= TOKENS_KEPT // 2:
+            self._append(known.take(pa.array(often)), flat[_runs(starts[often], sizes[often])], sizes[often])
+
+    def _append(self, tokens: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known = pa.concat_arrays([self.known, tokens])
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.flat = np.concatenate([self.flat, ids])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.seen = np.concatenate([self.seen, np.zeros(len(sizes), dtype=np.int32)])
+
+    def _learn(self, tokens: pa.Array) -> None:
         """Signs that end a token after a letter are cut off and encoded apart, as
-        the vocabulary's own splitting does; so fewer tokens are new."""
-        if len(self) > TOKENS_KEPT:
-            self.clear()
-            self.bodies = {"": b""}
-        new = [t for t in tokens if t not in self]
-        cut = []
-        for t in new:
-            body = t.rstrip(_SIGNS)
-            cut.append((body, t[len(body) :]) if body and body[-1].lower()[-1].isalpha() else (t, ""))
-        whole = []
-        for x in {x for pair in cut for x in pair if x and x not in self.bodies}:
+        the vocabulary's own splitting does; so fewer bodies are new."""
+        cut = pc.ascii_rtrim(tokens, _SIGNS).dictionary_encode()
+        bodies, at = _strings(cut.dictionary), cut.indices.to_numpy().astype(np.int64)
+        runs, letters, whole, texts, uncut = [], [], [], [], np.zeros(len(bodies), dtype=bool)
+        for i, x in enumerate(bodies):
             low = x.lower()
-            if x.isalpha() and len(low) == len(x) and "ς" not in low and (x.isascii() or is_normalized("NFC", x)):
+            if x.isalpha() and (low.isascii() or (len(low) == len(x) and "ς" not in low and is_normalized("NFC", x))):
                 # one run of letters: the normaliser and the splitting leave it whole, so the vocabulary's merges suffice
-                ids = self.merges(low if x.isascii() else low.encode().decode("latin-1").translate(_BYTES))
-                self.bodies[x] = pack_ids([t.id for t in ids])
+                runs.append(i)
+                letters.append(low if low.isascii() else low.encode().decode("latin-1").translate(_BYTES))
+            elif x and x[-1].lower()[-1].isalpha():
+                whole.append(i)
+                texts.append(x)
             else:
-                whole.append(x)
-        for x, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-            self.bodies[x] = pack_ids(e.ids)
-        for t, (body, tail) in zip(new, cut, strict=True):
-            self[t] = self.bodies[body] + self.bodies[tail]
-
-
-def _ids(path: str) -> _Ids:
-    if path not in _tokens:
-        _tokens[path] = _Ids(path)
-    return _tokens[path]
-
-
-#: Separators that str.split() knows and the tokenizer does not.
-_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-
-
-def encode(texts: list[str], path: str, end_id: int) -> list[bytes]:
-    """Each text's ids and then end_id. The vocabulary's tokens never span white
-    space, so a text's ids are its tokens' ids joined."""
-    table, end = _ids(path), pack_ids([end_id])
-    split = [[t] if any(c in t for c in _ODD) else t.split() for t in texts]
-    table.learn(set().union(*split))
-    get = table.__getitem__
-    return [b"".join(map(get, s)) + end for s in split]
+                uncut[i] = True
+        tails, tail_at = {"": 0}, np.zeros(len(tokens), dtype=np.int64)
+        signed = np.flatnonzero(pc.binary_length(tokens).to_numpy() > pc.binary_length(cut.dictionary).to_numpy()[at])
+        for j, t in zip(signed, _strings(tokens.take(pa.array(signed))), strict=True):
+            if not uncut[at[j]]:
+                tail_at[j] = tails.setdefault(t[len(bodies[at[j]]) :], len(tails))
+        odd = np.flatnonzero(uncut[at])
+        at[odd] = len(bodies) + np.arange(len(odd))
+        whole += at[odd].tolist()
+        texts += _strings(tokens.take(pa.array(odd)))
+
+        merged = list(map(self.tokenizer.model.tokenize, letters))
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast([*texts, *tails], add_special_tokens=False)]
+        flat = np.concatenate([np.fromiter(map(_ID, chain.from_iterable(merged)), np.uint32), np.fromiter(chain.from_iterable(encoded), np.uint32)])
+        sizes = np.array([*map(len, merged), *map(len, encoded)], dtype=np.int64)
+        slot = np.zeros(len(bodies) + len(odd), dtype=np.int64)
+        slot[[*runs, *whole]] = np.arange(len(runs) + len(whole))
+        both = np.stack([slot[at], tail_at + len(runs) + len(whole)], 1)
+        self._append(tokens, flat[_runs((np.cumsum(sizes) - sizes)[both.ravel()], sizes[both.ravel()])], sizes[both].sum(1))
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs of sizes from starts, one run after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+_tables: dict[tuple[str, int], _Table] = {}
+
+
+def encode(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the texts, each followed by end_id, in one array; and the
+    number of ids of each. The vocabulary's tokens never span white space, so a
+    text's ids are its tokens' ids joined; each distinct token is looked up once."""
+    table = _tables.get((path, end_id)) or _tables.setdefault((path, end_id), _Table(path, end_id))
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    tokens = split.flatten().dictionary_encode()
+    at = table.numbers(tokens.dictionary)[tokens.indices.to_numpy()]
+    ends = np.cumsum(pc.list_value_length(split).to_numpy())
+    at = np.insert(at, ends, 0)
+    sizes = table.sizes[at]
+    lengths = np.diff(np.cumsum(sizes)[ends + np.arange(len(ends))], prepend=0)
+    return table.flat[_runs(table.starts[at], sizes)], lengths
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
@@ -107,11 +158,18 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for b in batches:
-            ids = encode([t or "" for t in b.column(1).to_pylist()], path, end_id)
-            n = [len(x) // 4 for x in ids]
-            starts = list(accumulate(n, initial=at))
-            at = starts.pop()
-            yield pa.record_batch([b.column(0), pa.array([part] * len(n), pa.int32()), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "part", "start", "n", "ids"])
+            ids, n = encode(b.column(1), path, end_id)
+            ends = np.cumsum(n)
+            # offsets of 32 bits: a batch of huge texts is yielded in several
+            for rows in np.split(np.arange(len(n)), np.flatnonzero(np.diff(ends * 4 // MOST_BYTES, prepend=0))):
+                if len(rows):
+                    lo, hi = rows[0], rows[-1] + 1
+                    first = int(ends[lo] - n[lo])
+                    own = np.ascontiguousarray(ids[first : ends[hi - 1]])
+                    offsets = np.concatenate([[0], (ends[lo:hi] - first) * 4]).astype(np.int32)
+                    binary = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets), pa.py_buffer(own)])
+                    yield pa.record_batch([b.column(0).slice(lo, hi - lo), pa.array([part] * (hi - lo), pa.int32()), pa.array(at + ends[lo:hi] - n[lo:hi], pa.int64()), pa.array(n[lo:hi], pa.int64()), binary], names=["doc_id", "part", "start", "n", "ids"])
+            at += int(ends[-1]) if len(ends) else 0
 
     return arrow_map(docs, run, "doc_id long, part int, start long, n long, ids binary")
 
