@@ -59,7 +59,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(*toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic"))
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "margin")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

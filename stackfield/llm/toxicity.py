@@ -21,13 +21,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import TOKENS_KEPT, arrow_map
 
 #: Labelled rows that a model is fitted on, at most: those with the least hashes of their ids.
 MAX_TRAIN = 5000
+#: Characters of their texts, at most; rows beyond it, in that order, are left out of the fit.
+MAX_TRAIN_CHARS = 200_000_000
 #: Letters of a word's beginning that the lexicon can hold, for inflected words.
 STEM = 4
 
@@ -261,15 +263,15 @@ class Model:
     xs: np.ndarray
     ps: np.ndarray
 
-    def score(self, texts: list[str], tokens: Tokens | None = None) -> np.ndarray:
-        """The probability of label 1 for each text, ascending with the trees' sum."""
+    def score(self, texts: list[str], tokens: Tokens | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each text the calibrated probability of label 1, and the trees' sum,
+        which ranks texts of equal probability."""
         tokens = tokens or Tokens(self.lexicon, self.stems)
         x = np.concatenate([features(texts[i : i + 500], tokens) for i in range(0, len(texts), 500)]) if texts else np.zeros((0, len(FEATURES)))
         if not self.trees:
-            return np.full(len(texts), self.ps[0])
+            return np.full(len(texts), self.ps[0]), np.zeros(len(texts))
         f = self.trees.raw(x)
-        p = np.interp(f, self.xs, self.ps)
-        return np.clip(0.98 * p + 0.02 / (1 + np.exp(-f)), 0.0, 1.0)  # the sum itself breaks ties within a block
+        return np.interp(f, self.xs, self.ps), f
 
 
 def fit(texts: list[str], y: np.ndarray) -> Model:
@@ -290,12 +292,15 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
     return Model(lexicon, stems, held, *isotonic(f, labels))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
-    """At most `most` labelled rows: those with the least hashes of their ids,
-    of which crc32(id as text) mod 5 is not 0; of repeated ids the least text."""
-    labels = labels.select("doc_id", label).dropna().filter(~held_out(F.col("doc_id")))
-    chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id", label).limit(most).dropDuplicates(["doc_id"])
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = MAX_TRAIN, most_chars: int = MAX_TRAIN_CHARS) -> tuple[list[str], np.ndarray]:
+    """At most `most` labelled rows, of at most `most_chars` characters together:
+    those with the least hashes of their ids, of which crc32(id as text) mod 5 is
+    not 0. Of repeated ids the least text and the largest label count."""
+    labels = labels.select("doc_id", label).dropna().filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("y"))
+    chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("y").alias("y"))
+    before = F.sum(F.length("text").cast("long")).over(Window.orderBy("h", "doc_id"))  # over at most `most` rows
+    got = rows.withColumn("h", F.xxhash64("doc_id")).withColumn("before", before).filter(F.col("before") <= most_chars).orderBy("h", "doc_id").select("text", "y").collect()
     return [r["text"] for r in got], np.array([r["y"] for r in got], dtype=float)
 
 
@@ -305,17 +310,18 @@ def held_out(doc_id):
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every row, by its text alone. A null text is empty; an
-    empty text has the score of no features; equal texts have equal scores;
-    further columns are ignored."""
+    """(doc_id, score, margin) of every row, by its text alone: the calibrated
+    probability, and the trees' sum. A null text is empty; an empty text has the
+    score of no features; equal texts have equal scores; further columns are
+    ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(model.lexicon, model.stems)
         for b in batches:
-            s = model.score([t or "" for t in b.column(1).to_pylist()], tokens)
-            yield pa.record_batch([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
+            s, f = model.score([t or "" for t in b.column(1).to_pylist()], tokens)
+            yield pa.record_batch([b.column(0), pa.array(s, pa.float64()), pa.array(f, pa.float64())], names=["doc_id", "score", "margin"])
 
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, score double")
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, score double, margin double")
 
 
 def keep_below(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -325,6 +331,6 @@ def keep_below(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(model.lexicon, model.stems)
         for b in batches:
-            yield b.filter(pa.array(model.score([t or "" for t in b.column(at).to_pylist()], tokens) < threshold))
+            yield b.filter(pa.array(model.score([t or "" for t in b.column(at).to_pylist()], tokens)[0] < threshold))
 
     return arrow_map(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
