@@ -20,6 +20,10 @@ from .common import ascii_lower, saved, small
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Item shingles tested in one set; more are tested in several sets.
 SET_SIZE = 20_000
+#: Distinct item shingles that are tested in the plan, 8 bytes each; beyond it the places of shingles are joined with a table of them.
+SHINGLES_IN_PLAN = 200_000
+#: Shingles of that table broadcast up to this count (16 bytes each); beyond it the join shuffles.
+SHINGLES_BROADCAST = 2_000_000
 #: Windows broadcast up to this count (about 200 bytes each); beyond it the join shuffles.
 WINDOWS_BROADCAST = 100_000
 #: Digests of contaminated texts broadcast up to this count (32 bytes each); beyond it the join shuffles.
@@ -34,6 +38,17 @@ def _hash(w: str, at: str, k: int) -> str:
     return "xxhash64(" + ", ".join(f"{w}[{at} + {j}]" for j in range(k)) + ")"
 
 
+def _starts(k: int) -> str:
+    """The places of shingles of k words in the words w."""
+    return f"if(size(w) >= {k}, sequence(0, size(w) - {k}), array())"
+
+
+def _places_in(k: int, hashes: list[int]) -> str:
+    """The places of shingles of k words that have one of the hashes."""
+    tests = " OR ".join(f"{_hash('w', 'i', k)} IN ({', '.join(f'{h}L' for h in hashes[a : a + SET_SIZE])})" for a in range(0, len(hashes), SET_SIZE))
+    return f"filter({_starts(k)}, i -> {tests})"
+
+
 def _windows(bench: DataFrame, window: int, shingle: int) -> DataFrame:
     """(w, m, k, items): the distinct windows, their words, shingle length and items."""
     items = bench.select("item_id", words(F.col("text")).alias("iw")).filter("size(iw) > 0")
@@ -57,20 +72,26 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, shingle:
     bench = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     windows = saved(_windows(bench, window, shingle), "windows")
     each = windows.select("k", F.explode(F.array_distinct(_shingle_hashes())).alias("h")).distinct()
-    wanted: dict[int, list[int]] = {}
-    for k, h in each.collect():
-        wanted.setdefault(k, []).append(h)
-
     back, span = window - shingle, 2 * window - shingle  # a shingle stands at most `back` words into its window
-    found = []
-    for k, hashes in sorted(wanted.items()):
-        hashes.sort()
-        tests = " OR ".join(f"{_hash('w', 'i', k)} IN ({', '.join(f'{h}L' for h in hashes[a : a + SET_SIZE])})" for a in range(0, len(hashes), SET_SIZE))
-        at = f"filter(if(size(w) >= {k}, sequence(0, size(w) - {k}), array()), i -> {tests})"
-        found.append(F.expr(f"transform({at}, i -> named_struct('k', {k}, 'h', {_hash('w', 'i', k)}, 'pos', i, 'base', greatest(i - {back}, 0), 'near', slice(w, greatest(i - {back}, 0) + 1, {span})))"))
-    base = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
-    empty = F.expr("cast(array() as array<struct<k: int, h: bigint, pos: int, base: int, near: array<string>>>)")
-    scan = saved(base.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("w").cast("long").alias("n_words"), (F.concat(*found) if found else empty).alias("found")), "scan")
+    place = lambda k, h, i: f"named_struct('k', {k}, 'h', {h}, 'pos', {i}, 'base', greatest({i} - {back}, 0), 'near', slice(w, greatest({i} - {back}, 0) + 1, {span}))"
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
+    few = each.limit(SHINGLES_IN_PLAN + 1).collect()
+    if len(few) <= SHINGLES_IN_PLAN:
+        wanted: dict[int, list[int]] = {}
+        for k, h in few:
+            wanted.setdefault(k, []).append(h)
+        found = [F.expr(f"transform({_places_in(k, sorted(hashes))}, i -> {place(k, _hash('w', 'i', k), 'i')})") for k, hashes in sorted(wanted.items())]
+        empty = F.expr("cast(array() as array<struct<k: int, h: bigint, pos: int, base: int, near: array<string>>>)")
+        places = base.select("row", "doc_id", "w", (F.concat(*found) if found else empty).alias("found"))
+    else:
+        base = saved(base, "words")
+        ks = [r["k"] for r in windows.select("k").distinct().collect()]  # 1 to shingle
+        made = [F.expr(f"transform({_starts(k)}, i -> named_struct('k', {k}, 'h', {_hash('w', 'i', k)}, 'pos', i))") for k in sorted(ks)]
+        spots = base.select("row", F.explode(F.concat(*made)).alias("s")).select("row", "s.*").join(small(each, "shingles", SHINGLES_BROADCAST), ["k", "h"], "left_semi")
+        own = spots.groupBy("row").agg(F.collect_list(F.struct("k", "h", "pos")).alias("own"))  # of one document
+        made = F.expr(f"transform(coalesce(own, array()), s -> {place('s.k', 's.h', 's.pos')})")
+        places = base.join(own, "row", "left").select("row", "doc_id", "w", made.alias("found"))
+    scan = saved(places.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), "found"), "scan")
 
     rarity = scan.select(F.explode(F.array_distinct(F.transform("found", lambda x: F.struct(x["k"].alias("k"), x["h"].alias("h"))))).alias("s")).groupBy("s.k", "s.h").count()
     spots = windows.select("w", "m", "k", "items", F.posexplode(_shingle_hashes()).alias("off", "h"))
