@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,8 +79,25 @@ def test_tokens_join_to_the_tokenizers_ids():
     path = queries.tokenizer_path()
     t = Tokenizer.from_file(path)
     odd = ["a'll. <|endoftext|>. it's!! O'RE...", "x\x1cy é. Á. x y İ. Σ. ΑΣ. ΣΑΣ, don't.", "123. 4,5 éa ñ.", "Ünïcødé—ok “q” ﬁ ǅ", ""]
-    for text, got in zip(odd, packing.encode(odd, path, 2)):
-        assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids + [2], text
+    for _ in range(2):  # new tokens, then known ones
+        ids, n = packing.encode(pa.array([*odd, None]), path, 2)
+        for text, got in zip([*odd, ""], np.split(ids, np.cumsum(n)[:-1]), strict=True):
+            assert got.tolist() == t.encode(text, add_special_tokens=False).ids + [2], text
+
+
+def test_tokens_forgotten_are_learned_again(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "TOKENS_KEPT", 40)
+    path = queries.tokenizer_path()
+    t, table = Tokenizer.from_file(path), packing._Table(path, 2)
+    monkeypatch.setitem(packing._tables, (path, 2), table)
+    for seed in range(12):
+        texts = [prose(9, seed), "often, seen. " + prose(3, seed), prose(60, seed) if seed == 7 else ""]
+        ids, n = packing.encode(pa.array(texts), path, 2)
+        for text, got in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+            assert got.tolist() == t.encode(text, add_special_tokens=False).ids + [2], text
+    assert "seen." in table.known.to_pylist() and len(table.known) < 100
 
 
 # --- decontamination ---------------------------------------------------------
@@ -124,6 +142,13 @@ def test_decontamination_beyond_one_set_and_broadcast(spark, monkeypatch):
     test_decontamination(spark)
 
 
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_decontamination_with_a_table_of_shingles(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "SHINGLES_IN_PLAN", 5)
+    monkeypatch.setattr(decontaminate, "SHINGLES_BROADCAST", most)
+    test_decontamination(spark)
+
+
 # --- personal data -----------------------------------------------------------
 
 
@@ -356,6 +381,35 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_warc_heads(spark, monkeypatch):
+    """Unique record ids, revisits that name them, the date given; with common payloads and repeated and null ids."""
+    rows = [(i, "u", "common") for i in range(300)] + [(i, "u", f"pair {i // 2}") for i in range(40)] + [(7, "v", "twins"), (7, "v", "twins"), (3, "v", "twins"), (None, None, "pair 1"), (None, None, None), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    heads = []
+    for path in [r["path"] for r in warc.write_archives(pages, date="2020-02-02T02:02:02Z").collect()]:
+        at, name = warc.file_system(path)
+        with at.open_input_stream(name, compression=None) as stream:
+            own = [h for h, _ in warc.read_archive(stream)]
+        assert own[0]["WARC-Type"] == "warcinfo" and all(h["WARC-Type"] != "warcinfo" for h in own[1:])
+        heads += own
+    assert {h["WARC-Date"] for h in heads} == {"2020-02-02T02:02:02Z"}
+    by_id = {h["WARC-Record-ID"]: h for h in heads}
+    assert len(by_id) == len(heads)
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 299 + 20 + 1 + 1
+    for h in revisits:
+        if "WARC-Refers-To" in h:
+            to = by_id[h["WARC-Refers-To"]]
+            assert to["WARC-Type"] == "response" and to["X-Page-Id"] == h["X-Refers-To-Page-Id"] and to["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+    assert sum("WARC-Refers-To" not in h for h in revisits) == 1  # the twins
+    monkeypatch.setattr(warc, "COMMON", 1)
+    monkeypatch.setattr(warc, "COMMON_MOST", 3)
+    key = lambda df: Counter(tuple(r) for r in df.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect())
+    few = key(warc.read_archives(warc.write_archives(pages)))
+    monkeypatch.undo()
+    assert few == key(warc.read_archives(warc.write_archives(pages)))
+
+
 # --- fingerprints ------------------------------------------------------------
 
 
@@ -378,6 +432,34 @@ def test_fingerprints_against_brute_force(spark, docs):
     assert fingerprints.fingerprints(docs).count() == docs.count()
 
 
+def test_fingerprints_of_repeated_and_null_ids(spark, monkeypatch):
+    rows = [(5, prose(20 + i, i)) for i in range(60)] + [(None, prose(9 + i, i)) for i in range(40)] + [(i, prose(15, i)) for i in range(30)] + [(5, "same"), (5, "same"), (-(2**63), "low"), (2**63 - 1, "high")]
+    df = docs_of(spark, rows).repartition(3)
+    keyed = sorted((r["doc_id"] is None, -(r["doc_id"] or 0), r["h"], r["text"]) for r in df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect())
+    order = [(None if none else -down, text) for none, down, _, text in keyed]
+    want = Counter()
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        new = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        want[(i, len(t), hashlib.sha256(new.encode()).hexdigest())] += 1
+    for size in (64 << 20, 500):
+        monkeypatch.setattr(fingerprints, "RANGE_BYTES", size)
+        ranges = fingerprints._ranges(df.select("doc_id", "text", F.xxhash64("text").alias("h")), 4)[0].agg(F.max("r")).first()[0]
+        assert ranges >= (3 if size > 500 else 20)
+        assert Counter(tuple(r)[:3] for r in fingerprints.compare_edited(df).collect()) == want
+
+
+def test_merged_sketches(spark):
+    parts = [("a", prose(300, i)) for i in range(6)] + [(None, prose(40, 9)), ("b", ""), ("b", None)]
+    df = spark.createDataFrame([(i, t, v, "x") for i, (v, t) in enumerate(parts)], "doc_id long, text string, v string, shingles string").repartition(4)
+    made = df.select("doc_id", "v").join(fingerprints.fingerprints(df), "doc_id")
+    got = {r["v"]: r["fingerprint"] for r in fingerprints.merged(made, "v").collect()}
+    want = {}
+    for v, t in parts:
+        want[v] = np.union1d(want.get(v, np.zeros(0, np.uint64)), shingles(Words().hashes(t or "")))
+    assert got == {v: fingerprints.to_text(s[: fingerprints.K]) for v, s in want.items()}
+    assert fingerprints.merged(made.limit(0), "v").count() == 0
+
+
 def test_sketch_estimates():
     words = Words()
     a, b = prose(4000, 1), " ".join(prose(4000, 1).split()[:2000])
@@ -431,8 +513,8 @@ def test_toxicity_details():
     assert toxicity.spelled("i d i o t you".split(), np.array([1, 1, 1, 1, 1, 0], bool), frozenset({"idiot"})) == 1
     xs, ps = toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0, 1, 0, 1]))
     assert np.all(np.diff(ps) >= 0) and np.interp(2.5, xs, ps) == 0.5
-    assert toxicity.fit(["a"], np.array([1])).score(["b", ""]).tolist() == [1, 1]
-    assert toxicity.fit([], np.array([])).score(["b"]).tolist() == [0]
+    assert toxicity.fit(["a"], np.array([1])).score(["b", ""])[0].tolist() == [1, 1]
+    assert toxicity.fit([], np.array([])).score(["b"])[0].tolist() == [0]
 
 
 # --- secrets -----------------------------------------------------------------
