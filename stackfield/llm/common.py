@@ -18,6 +18,8 @@ from ..shipping import ship
 
 #: Rows of an Arrow batch: some texts are very long, so few rows.
 ARROW_ROWS = 500
+#: A key that more rows than these have is a common one; where that would be more than COMMON_MOST keys, the count goes up.
+COMMON, COMMON_MOST = 1000, 100_000
 #: Tokens that a worker keeps; the table is emptied beyond it.
 TOKENS_KEPT = 400_000
 
@@ -56,6 +58,18 @@ def small(df: DataFrame, tag: str, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def joined(rows: DataFrame, facts: DataFrame, key: str, copies: str) -> DataFrame:
+    """rows joined with facts, which have a row for each key; copies counts the
+    rows with that key. Keys of more than COMMON rows, COMMON_MOST of them at
+    most, are joined by broadcast, so that their rows stay where they are."""
+    common = COMMON
+    while facts.filter(F.col(copies) > common).count() > COMMON_MOST:
+        common *= 8
+    hot = F.broadcast(facts.filter(F.col(copies) > common))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.filter(F.col(copies) <= common), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,11 +3,13 @@
 Equal word sequences are one class, and a representative of each goes on. Its
 MinHash signature is cut into bands, whose number and rows are chosen for a
 target recall at the threshold. Band hashes are shuffled, alone; texts that
-share one are candidates. Candidates are joined into candidate groups, and each
-group's texts meet once, whatever number of bands they share: in blocks of
-BLOCK texts, where all pairs are verified at once on the full n-gram sets by a
-product of incidence matrices. A block gives for each text the number of its
-links and one link that spans, so a group of near copies costs no row per pair.
+share one are candidates of each other. A text's block is the most common
+band hash among those of its candidates, so most candidates are in one block; a block of many texts, or
+bytes, is split. A text goes to each pair of blocks that a band hash of its own,
+or where that joins many blocks, of any text of its block, joins; there all pairs are verified at once on the full n-gram sets by a
+product of incidence matrices: each pair in one place, whatever number of bands
+it shares. A pair of blocks gives for each text the number of its links and one
+link that spans, so a group of near copies costs no row per pair.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_map, mixed, saved, shingles, shuffle_partitions, small
+from .common import Words, arrow_map, joined, mixed, saved, shingles, shuffle_partitions, small
 from .components import components
 
 THRESHOLD, SHINGLE, RECALL = 0.8, 5, 0.999
-#: Texts of a block; a task holds two blocks' texts at a time.
-BLOCK = 256
+#: Texts of a block, and their bytes, on average at most; a task holds two blocks' texts at a time.
+BLOCK, BLOCK_BYTES = 128, 16 << 20
+#: Blocks that a band hash joins, at most, for its own texts alone to meet; where it joins more, whole blocks meet.
+FEW = 4
 #: Columns of an incidence matrix at a time.
 COLUMNS = 4096
 #: Rows to drop that are broadcast as their numbers, 8 bytes each; beyond it the join shuffles.
@@ -124,28 +128,51 @@ def _spans(linked: np.ndarray, ids: list) -> list[int]:
 
 
 def verified(members: DataFrame, threshold: float, shingle: int) -> DataFrame:
-    """(rep, peer, links, whole) from members (root, i, j, block, whole, rep,
-    doc_id, text): the texts of each pair of blocks against one another."""
+    """(rep, peer, links) from members (lo, hi, own, rep, doc_id, text): the texts
+    of each pair of blocks against one another; own is a text's block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         out: list[tuple] = []
-        for (_, i, j), own in groupby(rows, key=lambda r: r[:3]):
-            own = list(own)
-            linked = _links([shingles(_words.hashes(r[7]), shingle) for r in own], threshold)
-            block = np.array([r[3] for r in own])
-            if i != j:  # pairs within a block are counted where it meets itself
+        for (lo, hi), group in groupby(rows, key=lambda r: r[:2]):
+            group = list(group)
+            linked = _links([shingles(_words.hashes(r[5]), shingle) for r in group], threshold)
+            block = np.array([r[2] for r in group])
+            if lo != hi:  # pairs within a block are counted where it meets itself
                 linked &= block[:, None] != block[None, :]
-            peers = _spans(linked, [(r[6] is None, r[6], r[5]) for r in own])
+            peers = _spans(linked, [(r[4] is None, r[4], r[3]) for r in group])
             counts = linked.sum(1)
-            out += [(r[5], own[p][5], int(c), r[4]) for r, p, c in zip(own, peers, counts, strict=True)]
+            out += [(r[3], group[p][3], int(c)) for r, p, c in zip(group, peers, counts, strict=True) if c]
             if len(out) > 2000:
-                yield pa.record_batch([pa.array(c) for c in zip(*out)], names=["rep", "peer", "links", "whole"])
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["rep", "peer", "links"])
                 out = []
         if out:
-            yield pa.record_batch([pa.array(c) for c in zip(*out)], names=["rep", "peer", "links", "whole"])
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["rep", "peer", "links"])
 
-    return arrow_map(members, run, "rep long, peer long, links long, whole boolean", 100)
+    return arrow_map(members, run, "rep long, peer long, links long", 100)
+
+
+def _meetings(reps: DataFrame) -> DataFrame:
+    """(rep, own, lo, hi): the pairs of blocks that each text of reps (rep, bytes, bands) goes to."""
+    banded = reps.select("rep", F.explode("bands").alias("h"))
+    common = banded.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = saved(banded.join(common, "h"), "shared")
+    # of the band hashes that a text shares the most common one, and of those the most common of all with whom it shares one
+    own = shared.groupBy("rep").agg(F.max(F.struct("n", "h")).alias("best"))
+    near = shared.join(own, "rep").groupBy("h").agg(F.max("best").alias("best"))
+    keys = shared.join(saved(near, "near"), "h").groupBy("rep").agg(F.max("best")["h"].alias("key")).join(reps.select("rep", "bytes"), "rep")
+    parts = keys.groupBy("key").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("bytes") / F.lit(BLOCK_BYTES))).alias("parts"))
+    blocks = joined(keys, saved(parts, "blocks"), "key", "n").select("rep", F.xxhash64("key", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("own"))
+    blocks = saved(blocks, "placed")
+    placed = saved(shared.select("rep", "h").join(blocks, "rep"), "placed")
+    held = saved(placed.select("h", "own").distinct(), "held")
+    over = held.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    other = saved(held.join(over, "h").select("h", F.col("own").alias("other"), "n"), "held")
+    few = placed.join(other.filter(F.col("n") <= FEW), "h").select("rep", "own", "other")
+    pairs = held.join(other.filter(F.col("n") > FEW), "h").select("own", "other").distinct()
+    many = blocks.join(pairs, "own").select("rep", "own", "other")
+    met = few.unionByName(many).filter("own <> other").unionByName(blocks.select("rep", "own", F.col("own").alias("other")))
+    return met.select("rep", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).distinct()
 
 
 def _grouped(docs: DataFrame, threshold: float, shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -153,32 +180,25 @@ def _grouped(docs: DataFrame, threshold: float, shingle: int, id_col: str, text_
     spark = docs.sparkSession
     marked = signed(docs, text_col, threshold, shingle)
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("doc_id"), F.col("__row").alias("row"))
-    reps = marked.groupBy("__sig").agg(F.min(key).alias("k"), F.count("*").alias("n_copies"), F.first("__bands").alias("bands"))
-    reps = saved(reps.select("__sig", F.col("k.doc_id").alias("copy_id"), F.col("k.row").alias("rep"), "n_copies", "bands"), "classes")
+    size = F.octet_length(text_col).cast("long")
+    reps = marked.groupBy("__sig").agg(F.min(key).alias("k"), F.count("*").alias("n_copies"), F.first("__bands").alias("bands"), F.max(size).alias("bytes"))
+    reps = saved(reps.select("__sig", F.col("k.doc_id").alias("copy_id"), F.col("k.row").alias("rep"), "n_copies", "bands", "bytes"), "classes")
 
-    banded = reps.select("rep", F.explode("bands").alias("h"))
-    shared = banded.groupBy("h").agg(F.min("rep").alias("a"), F.count("*").alias("n")).filter("n > 1").select("h", "a")
-    edges = banded.join(shared, "h").select("a", F.col("rep").alias("b"))
-    roots = components(edges)
-    sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    blocks = roots.join(sizes, "root").select("root", F.col("node").alias("rep"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     texts = marked.filter("__bands IS NOT NULL").select(F.col("__row").alias("rep"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    active = blocks.join(texts.hint("merge"), "rep")  # the texts cross a shuffle once, at every size alike
-    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"))))
-    dealt = active.select("root", "rep", "doc_id", "text", "block", (F.col("blocks") == 1).alias("whole"), meets.alias("m")).select("root", "m.i", "m.j", "block", "whole", "rep", "doc_id", "text")
-    dealt = dealt.repartition(shuffle_partitions(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j", "rep")
+    active = saved(_meetings(reps), "meetings").join(texts.hint("merge"), "rep")  # the texts cross a shuffle once, at every size alike
+    parts = shuffle_partitions(spark)
+    dealt = active.select("lo", "hi", "own", "rep", "doc_id", "text").repartition(parts, "lo", "hi").sortWithinPartitions("lo", "hi", "rep")
     found = saved(verified(dealt, threshold, shingle), "links")
 
     links = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    over = components(found.filter("NOT whole").select(F.col("rep").alias("a"), F.col("peer").alias("b")))
-    groups = found.filter("whole").select("rep", F.col("peer").alias("root")).union(over.select("node", "root"))
+    groups = components(found.select(F.col("rep").alias("a"), F.col("peer").alias("b"))).select(F.col("node").alias("rep"), "root")
     named = groups.join(reps.select("rep", F.struct(F.col("copy_id").isNull().alias("none"), F.col("copy_id").alias("doc_id"), F.col("rep").alias("row")).alias("k")), "rep")
-    first = named.groupBy("root").agg(F.min("k").alias("first"))
-    joined = groups.join(first, "root").select("rep", "first").join(links, "rep")
-    classes = reps.join(joined, "rep", "left").select(
+    first = saved(named.groupBy("root").agg(F.min("k").alias("first"), F.count("*").alias("n")), "first")
+    in_groups = joined(groups, first, "root", "n").select("rep", "first").join(links, "rep")
+    classes = reps.join(in_groups, "rep", "left").select(
         "__sig", F.coalesce("first.doc_id", "copy_id").alias("class_id"), F.coalesce("first.row", "rep").alias("class_row"), "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
-    return marked, classes
+    return marked, saved(classes, "named")
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,7 +217,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = S
     further columns are ignored.
     """
     marked, classes = _grouped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), threshold, shingle, "doc_id", "text")
-    return marked.select("doc_id", "__sig").join(classes, "__sig").select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
+    return joined(marked.select("doc_id", "__sig"), classes, "__sig", "n_copies").select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,5 +225,5 @@ def keep_first(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHI
     copy (by any path of links) of a row with a smaller id; texts without words
     all stay."""
     marked, classes = _grouped(docs, threshold, shingle, id_col, text_col)
-    goes = marked.filter("__bands IS NOT NULL").select("__row", "__sig").join(classes.select("__sig", "class_row"), "__sig").filter("__row <> class_row").select("__row")
+    goes = joined(marked.filter("__bands IS NOT NULL").select("__row", "__sig"), classes.select("__sig", "class_row", "n_copies"), "__sig", "n_copies").filter("__row <> class_row").select("__row")
     return marked.join(small(goes, "goes", GOES_BROADCAST), "__row", "left_anti").drop("__row", "__sig", "__bands")

@@ -4,6 +4,7 @@ extra columns with clashing names."""
 
 import base64
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
@@ -13,6 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from stackfield.llm import common as llm_common
 from stackfield.llm import components, decontaminate, fingerprints, licenses, ngram_join, packing, pii, queries, secrets, toxicity, urls, warc
 from stackfield.llm.common import Words, shingles
 
@@ -332,8 +334,11 @@ def near_rows():
 
 def test_join_against_all_pairs(spark, monkeypatch):
     rows = near_rows()
-    for block in (256, 4):
+    for block, size, common, few in ((256, 1 << 24, 1000, 4), (4, 1 << 24, 2, 2), (3, 1 << 24, 1000, 99)):
+        monkeypatch.setattr(ngram_join, "FEW", few)
         monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "BLOCK_BYTES", size)
+        monkeypatch.setattr(llm_common, "COMMON", common)
         got = Counter(tuple(r) for r in ngram_join.jaccard_join(docs_of(spark, rows)).select("doc_id", "class_id", "copy_id", "n_copies", "n_links").collect())
         assert got == brute_join(rows)
     kept = ngram_join.keep_first(docs_of(spark, rows))
@@ -343,6 +348,13 @@ def test_join_against_all_pairs(spark, monkeypatch):
     assert ngram_join.jaccard_join(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/documents.parquet"), reason="the test tables are absent")
+def test_recall_of_the_join_on_a_whole_table(spark):
+    """Against all pairs of the table's 1,000 documents: no link is missed and none is made up."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert Counter(tuple(r) for r in ngram_join.jaccard_join(df).select("doc_id", "class_id", "copy_id", "n_copies", "n_links").collect()) == brute_join(texts_of(df))
+
+
 def test_bands():
     for t in (0.5, 0.8, 0.95):
         b, r = ngram_join.bands_for(t)
