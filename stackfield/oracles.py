@@ -69,6 +69,9 @@ def _clip(source: str, name: str) -> str:
 
 _PIX = "frame_index, r, c"
 
+#: Rows of 8 values and a 0, so that they are 3 pixels of 3 values.
+_NINE = "nine AS (SELECT frame_index, r, c, v FROM px UNION ALL SELECT DISTINCT frame_index, r, 8, 0.0 FROM px)"
+
 
 def _point(expr: str, table: str = "pu") -> str:
     return _with() + f"SELECT {_PIX}, {_r(f'({expr})::FLOAT::DOUBLE')} FROM {table}"
@@ -78,23 +81,30 @@ def _unit(x: str) -> str:
     return f"least(greatest({x}, 0.0), 1.0)"
 
 
+def _taps(kernel: str, name: str, at: str) -> str:
+    """Of each place o of an axis: the places c that its taps d lie at, with their weights w."""
+    return f"t_{name} AS MATERIALIZED (SELECT o::INT AS o, ({at})::INT AS c, w FROM ({kernel}), (SELECT unnest(range(8)) AS o))"
+
+
+def _separable(source: str, name: str) -> tuple[str, str]:
+    """Rows first, then columns; each step is made once, whatever reads it."""
+    rows = f"x_{name} AS MATERIALIZED (SELECT s.frame_index, s.label, s.r, t.o AS c, sum(t.w * s.v) AS v FROM {source} s JOIN t_{name} t ON s.c = t.c GROUP BY ALL)"
+    cols = f"{name} AS MATERIALIZED (SELECT s.frame_index, s.label, t.o AS r, s.c, sum(t.w * s.v) AS v FROM x_{name} s JOIN t_{name} t ON s.r = t.c GROUP BY ALL)"
+    return rows, cols
+
+
 def _blur(source: str, name: str, sigma: float) -> tuple[str, ...]:
     """Taps of the separable kernel, rows first, edges repeated."""
     half = -(-int(3 * sigma * 1000) // 1000)
-    kernel = f"k_{name} AS (SELECT d, exp(-d * d / (2.0 * {sigma} * {sigma})) / sum(exp(-d * d / (2.0 * {sigma} * {sigma}))) OVER () AS w FROM (SELECT unnest(range(-{half}, {half + 1})) AS d))"
-    rows = f"x_{name} AS (SELECT s.frame_index, s.label, s.r, o.c, sum(k.w * s.v) AS v FROM (SELECT unnest(range(8))::INT AS c) o, k_{name} k, {source} s WHERE s.c = least(greatest(o.c + k.d, 0), 7) GROUP BY ALL)"
-    cols = f"{name} AS (SELECT s.frame_index, s.label, o.r, s.c, sum(k.w * s.v) AS v FROM (SELECT unnest(range(8))::INT AS r) o, k_{name} k, x_{name} s WHERE s.r = least(greatest(o.r + k.d, 0), 7) GROUP BY ALL)"
-    return kernel, rows, cols
+    kernel = f"SELECT d, exp(-d * d / (2.0 * {sigma} * {sigma})) / sum(exp(-d * d / (2.0 * {sigma} * {sigma}))) OVER () AS w FROM (SELECT unnest(range(-{half}, {half + 1})) AS d)"
+    return _taps(kernel, name, "least(greatest(o + d, 0), 7)"), *_separable(source, name)
 
 
 def _atrous(source: str, name: str, scale: int) -> tuple[str, ...]:
     """Five taps, 2^scale apart; the border mirrors with -1 at 1 and 8 at 7."""
     step = 2**scale
-    m = lambda x: f"(CASE WHEN abs({x}) % 16 < 8 THEN abs({x}) % 16 ELSE 15 - abs({x}) % 16 END)"
-    taps = f"k_{name}(d, w) AS (VALUES ({-2 * step}, 0.0625), ({-step}, 0.25), (0, 0.375), ({step}, 0.25), ({2 * step}, 0.0625))"
-    rows = f"x_{name} AS (SELECT s.frame_index, s.label, s.r, o.c, sum(k.w * s.v) AS v FROM (SELECT unnest(range(8))::INT AS c) o, k_{name} k, {source} s WHERE s.c = {m('(o.c + k.d)')} GROUP BY ALL)"
-    cols = f"{name} AS (SELECT s.frame_index, s.label, o.r, s.c, sum(k.w * s.v) AS v FROM (SELECT unnest(range(8))::INT AS r) o, k_{name} k, x_{name} s WHERE s.r = {m('(o.r + k.d)')} GROUP BY ALL)"
-    return taps, rows, cols
+    kernel = f"SELECT * FROM (VALUES ({-2 * step}, 0.0625), ({-step}, 0.25), (0, 0.375), ({step}, 0.25), ({2 * step}, 0.0625)) k(d, w)"
+    return _taps(kernel, name, "CASE WHEN abs(o + d) % 16 < 8 THEN abs(o + d) % 16 ELSE 15 - abs(o + d) % 16 END"), *_separable(source, name)
 
 
 def _bayer(red: tuple[int, int], cross: str, diagonal: str, across: str, along: str) -> tuple[str, str, str]:
@@ -204,8 +214,8 @@ ORACLES = {
     "debayer_bilinear": _colours(_BILINEAR),
     "debayer_mhc": _colours(_MHC),
     "luminance": _with(_LU, _UC) + f"SELECT {_PIX}, {_r('(0.299::DOUBLE * (' + _BILINEAR[0] + ')::FLOAT::DOUBLE + 0.587::DOUBLE * (' + _BILINEAR[1] + ')::FLOAT::DOUBLE + 0.114::DOUBLE * (' + _BILINEAR[2] + ')::FLOAT::DOUBLE)::FLOAT::DOUBLE')} FROM uc",
-    "split_rgb": _with() + f"SELECT frame_index, (k // 6)::INT AS r, (k % 6 // 3)::INT AS c, {_r('v')}, substr('rgb', (k % 3 + 1)::INT, 1) AS colour FROM (SELECT frame_index, 8 * r + c AS k, v FROM px) WHERE k < 48",
-    "merge_rgb": _with() + f"SELECT frame_index, (k // 6)::INT AS r, (k % 6 // 3 * 3 + 2 - k % 3)::INT AS c, {_r('v')} FROM (SELECT frame_index, 8 * r + c AS k, v FROM px) WHERE k < 48",
+    "split_rgb": _with(_NINE) + f"SELECT frame_index, r, (c // 3)::INT AS c, {_r('v')}, substr('rgb', (c % 3 + 1)::INT, 1) AS colour FROM nine",
+    "merge_rgb": _with(_NINE) + f"SELECT frame_index, r, (c // 3 * 3 + 2 - c % 3)::INT AS c, {_r('v')} FROM nine",
     "phase_correlation": _with(_FREQ, _dft("pu", "ff", f"s.v * {_HANN}"), *_PEAK) + f"SELECT frame_index, {_r(_DY, 'dy')}, {_r(_DX, 'dx')}, {_r('CASE WHEN mean > 1e-15 THEN ' + _at('r', 'c') + ' / mean ELSE 0.0 END', 'confidence')} FROM ps",
     "gradient_correlation": _with(_FREQ, _LU, _UC, _sobel("uc", "sb"), _dft("sb", "ff", f"s.v * {_HANN}"), *_PEAK) + f"SELECT frame_index, {_r(_DY, 'dy')}, {_r(_DX, 'dx')} FROM ps",
     "centroid_offset": _with("mx AS (SELECT frame_index, label, max(v) AS m FROM pu GROUP BY ALL)", "ce AS (SELECT frame_index, label, CASE WHEN any_value(m) > 0 THEN sum(r * v) FILTER (v > 0.5 * m) / sum(v) FILTER (v > 0.5 * m) ELSE 4.0 END AS y, CASE WHEN any_value(m) > 0 THEN sum(c * v) FILTER (v > 0.5 * m) / sum(v) FILTER (v > 0.5 * m) ELSE 4.0 END AS x FROM pu JOIN mx USING (frame_index, label) GROUP BY ALL)", "fi AS (SELECT label, min(frame_index) AS first FROM px GROUP BY label)") + f"SELECT t.frame_index, {_r('t.y - a.y', 'dy')}, {_r('t.x - a.x', 'dx')} FROM ce t JOIN fi USING (label) JOIN ce a ON a.frame_index = fi.first",

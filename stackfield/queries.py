@@ -187,8 +187,9 @@ def luminance(spark, sf_dir):
 
 
 def _wide(spark, sf_dir) -> DataFrame:
-    """The first 48 values as 8 rows of 2 pixels of 3 values."""
-    return captures(spark, sf_dir).select("frame_index", "height", F.lit(6).alias("width"), F.slice("pixels", 1, 48).alias("pixels"))
+    """Whole frames, each row of 8 values and a 0 being 3 pixels of 3 values."""
+    rows = F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda r: F.concat(F.slice("pixels", r * SIDE + 1, SIDE), F.array(F.lit(0.0).cast("float"))))
+    return captures(spark, sf_dir).select("frame_index", "height", F.lit(SIDE + 1).alias("width"), F.flatten(rows).alias("pixels"))
 
 
 def split_rgb(spark, sf_dir):
