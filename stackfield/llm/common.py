@@ -51,6 +51,15 @@ def saved(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that saved() wrote and nothing reads any more."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            if at.getName().startswith("stackfield-"):
+                at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small(df: DataFrame, tag: str, most: int) -> DataFrame:
     """df, written, and marked for broadcast if it has no more than `most` rows;
     with more of them the join that reads it shuffles."""
