@@ -1,8 +1,9 @@
 """Secret scans: candidates by their form, false ones removed by a random forest.
 
-A candidate is a run of 16 or more letters, digits and signs of encodings, or,
-after a word of secrets and an assignment, a value of 6 or more non-space signs.
-Shorter values, those without such a word and assignment before them on the
+A candidate is a run of 16 or more letters, digits and signs of encodings, a
+signed token or key with points, a block of a private key, the password in a
+URL, or, after a word of secrets and an assignment, a value of 6 or more
+non-space signs. Shorter values, those without such a word and assignment before them on the
 line, and what follows a space or quote in a value are not seen. Its features are
 its length, its characters and their transitions, how much of it words cover,
 whether it stands in a path, and the words near it. The forest is fitted on
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 RUN = r"[A-Za-z0-9+/_\-]{16,}+={0,2}+"
 NEAR = 48
 THRESHOLD = 0.5
+#: Findings that a forest is fitted on, at most: those with the least hashes.
+MOST_FINDINGS = 50_000
 REPLACEMENT = "[SECRET]"
 
 # Pieces of common words and identifiers, common pairs of letters, and words near secrets and near other long runs.
@@ -33,13 +36,15 @@ WORDS = ("about account action admin after again also and application array attr
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ie ei un ge qu ai eu oi".split()
 SECRET_WORDS = "token|secret|passw|pwd|api|key|auth|bearer|credential|private|access|login|signature"
 OTHER_WORDS = "commit|sha1|sha256|sha|md5|hash|checksum|digest|revision|rev|uuid|guid|etag|integrity|example|sample|placeholder|dummy|your|image|base64|fingerprint|build|version|trace"
-PREFIXES = "AKIA|ASIA|ghp_|gho_|github_pat_|sk_live_|rk_live_|sk-|xox[abp]-|AIza|eyJ|glpat-|npm_|SG\\."
+PREFIXES = "AKIA|ASIA|ghp_|gho_|github_pat_|sk_live_|rk_live_|sk-|xox[abp]-|AIza|eyJ|glpat-|npm_|SG\\.|-----BEGIN"
+#: Candidates with signs that runs do not have: tokens of three parts, keys of two, blocks of private keys, and passwords in URLs.
+WHOLE = r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[^-]{16,}+-----END [A-Z ]{0,24}PRIVATE KEY-----|(?<=:)(?<=://[^\s/:@\x22\x27]{1,64}:)[^\s/@:\x22\x27]{6,64}(?=@)"
 #: After a word near secrets, what may end its name, and an assignment; the first test is quick.
 ASSIGNED = rf"(?<=[:=\s\x22\x27`])(?<=[:=][\s&&[^\r\n]]{{0,2}}[\x22\x27`]?)(?<=(?i:{SECRET_WORDS})[A-Za-z0-9_-]{{0,16}}[\x22\x27`\]]{{0,2}}[\s&&[^\r\n]]{{0,2}}[:=]{{1,2}}[\s&&[^\r\n]]{{0,2}}[\x22\x27`]?)"
 #: A value of any signs but spaces and quotes; what closes a sentence or bracket after it stays.
 VALUE = r"[^\s\x22\x27`=:][^\s\x22\x27`]{4,}[^\s\x22\x27`.,;:)\]}>]"
-#: A run that ends where a value can end, a value, or any run.
-CANDIDATE = rf"{RUN}(?=[\s\x22\x27`,;&)\]}}<>]|\.[a-z]{{2,4}}\b|\.?(?:\s|$))|{ASSIGNED}{VALUE}|{RUN}"
+#: One of WHOLE, a run that ends where a value can end, a value, or any run.
+CANDIDATE = rf"{WHOLE}|{RUN}(?=[\s\x22\x27`,;&)\]}}<>]|\.[a-z]{{2,4}}\b|\.?(?:\s|$))|{ASSIGNED}{VALUE}|{RUN}"
 
 FEATURES = ("length", "transitions", "common_pairs", "coverage", "in_path", "slashes", "secret_word", "other_word", "assigned", "quoted", "digit_share", "upper_share", "hex", "letters_only", "digits_only", "distinct_share", "known_prefix", "uuid", "repeats", "separators", "signs", "code")
 
@@ -92,6 +97,24 @@ def default_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
             if sum(any(map(t, p)) for t in (str.islower, str.isupper, str.isdigit, lambda x: not x.isalnum())) >= 3 and p[0] not in "=:" and p[-1] not in ".":
                 return p
 
+    def worded() -> str:
+        """A word with digits, signs and letters after it."""
+        return r.choice([str, str.capitalize])(word()) + run("0123456789", r.randint(1, 4)) + r.choice(["!", "#", "$", "%", "&", "*", "@", "_", ""]) + run(string.ascii_letters, r.randint(2, 5)) + r.choice(["", "!", "9"])
+
+    def whole() -> tuple[str, str, str]:
+        """One of WHOLE, with what stands around it."""
+        url = alnum.replace("+", "") + "_-"
+        kind = r.randrange(5)
+        if kind == 0:
+            return noise() + r.choice(["", "token: ", "Bearer ", "jwt=", '"']), "eyJ" + run(url, r.randint(15, 40)) + ".eyJ" + run(url, r.randint(20, 90)) + "." + run(url, r.randint(20, 60)), r.choice(["", '"', " ", "\n"]) + noise()
+        if kind == 1:
+            return noise() + r.choice(["", "key: ", "API_KEY=", '"']), "SG." + run(url, 22) + "." + run(url, 43), r.choice(["", '"', " "]) + noise()
+        if kind == 2:
+            name = r.choice(["RSA ", "EC ", "", "OPENSSH "])
+            return noise(), f"-----BEGIN {name}PRIVATE KEY-----\n" + "\n".join(run(b64, 64) for _ in range(r.randint(1, 12))) + f"\n-----END {name}PRIVATE KEY-----", "\n" + noise()
+        p = r.choice([password, worded, lambda: run(alnum, r.randint(6, 20))])().replace("@", "x").replace(":", "y")
+        return noise() + r.choice(["postgres", "mysql", "https", "amqp", "redis", "ftp"]) + "://" + r.choice([word(), word() + run("0123456789", 2)]) + ":", p, "@" + r.choice(["localhost", "10.0.0.2", word() + ".example.com"]) + r.choice([":5432/", "/", ""]) + word() + " " + noise()
+
     def long_name() -> str:
         name = "_".join([*r.choices(WORDS, k=r.randint(1, 2)), r.choice("secret_token access_key secret_access_key api_key auth_token private_key client_secret database_password".split())])
         return r.choice([str, str.upper])(name.rjust(16, "x"))
@@ -107,8 +130,14 @@ def default_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
                 left = noise() + long_name() + r.choice(["=", "=", '="', " = ", ": "])
             elif r.random() < 0.15:
                 left = noise() + r.choice(["Authorization: Bearer ", "login ", "auth "])
-            if r.random() < 0.25:  # short values, after an assignment
-                c = password()
+            if r.random() < 0.15:
+                left, c, right = whole()
+                out.append((left[-NEAR:], c, right[:NEAR], 1))
+                continue
+            if r.random() < 0.1:  # keys with several slashes
+                c = "/".join(run(alnum, r.randint(4, 18)) for _ in range(r.randint(3, 4)))
+            if r.random() < 0.3:  # short values, after an assignment
+                c = r.choice([password, password, worded])()
                 left = noise() + r.choice([name, long_name()]) + r.choice([' = "', '="', ": ", "=", ' : "', " = '", '": "'])
                 right = '"' + noise() if left.endswith('"') else r.choice([" ", "\n", "'"]) + noise()
                 out.append((left[-NEAR:], c, right[:NEAR], 1))
@@ -120,7 +149,7 @@ def default_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
                 right = '"' + noise()
             out.append((left[-NEAR:], c, right[:NEAR], 1))
             continue
-        kind = r.randrange(13)
+        kind = r.randrange(14)
         left, right = noise(), r.choice(["", " ", ".", ",", "\n"]) + noise()
         if kind in (0, 1):  # long words, plain or in capitals
             c = "".join(r.choices(syllables, k=12))[: r.randint(16, 30)]
@@ -147,6 +176,12 @@ def default_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
             c = r.choice(["x" * r.randint(16, 40), "your_api_key_here", "your-access-token-here", "0" * r.randint(16, 40), "example_secret_key", "=" * 4 + "-" * r.randint(16, 60), "_" * r.randint(16, 50), "placeholder_token_value", "XXXXXXXX-XXXX-XXXX"])
             left += r.choice(["token = ", 'api_key = "', "password: ", ""])
             c = c.lstrip("=").ljust(16, "x")
+        elif kind == 13:  # names and ports in the places of passwords in URLs, and cut tokens
+            left, c, right = r.choice([
+                lambda: (left + "https://" + word() + ":", r.choice(["password", "passwd", "secret", "<" + "password" + ">", "${PASSWORD}", "xxxxxx", "******", "your_password"]), "@" + word() + ".example.com/ " + noise()),
+                lambda: (left, ".".join(r.choices(WORDS, k=3)).ljust(16, "s"), right),
+                lambda: (left, "-----BEGIN PUBLIC KEY-----"[5:21].replace(" ", "_").ljust(16, "-"), right),
+            ])()
         elif kind >= 11:  # plain values, after the words and assignments of secrets
             c = r.choice([lambda: word().rjust(6, "a"), lambda: word().capitalize().ljust(6, "s") + r.choice(["", ","]), lambda: "".join(r.choices(syllables, k=8))[: r.randint(6, 15)], lambda: run("0123456789", r.randint(6, 10)), lambda: "-".join(r.choices(WORDS, k=2)).ljust(6, "s"), lambda: "_".join(r.choices(WORDS, k=2)).ljust(6, "s"),
                           lambda: word() + "." + word() + r.choice(["", "()", "(" + word() + ")"]) + "s", lambda: "${" + word().upper() + "_" + word().upper() + "}s", lambda: "<" + word() + "-" + word(), lambda: run("*", r.randint(6, 12)), lambda: "https://" + word() + ".example.com/" + word(), lambda: "/" + word() + "/" + word() + "s", lambda: "changeme", lambda: "your_" + word() + "_here", lambda: r.choice(["required", "optional", "string", "undefined", "password", "disabled", "example"])])()
@@ -226,9 +261,18 @@ class Forest:
         return f"aggregate({array(self.roots, 'int')}, cast(0 as double), (s, root) -> s + {array(self.value, 'double')}[{leaf}]) / {len(self.roots)}"
 
 
-def fit(spark: SparkSession, findings: list[tuple[str, str, str, int]] | None = None) -> Forest:
-    """A forest fitted on labelled findings (left, candidate, right, label)."""
-    rows = spark.createDataFrame(findings or default_findings(), "l string, c string, r string, y int").select("y", F.expr(feature_sql("c", "l", "r")).alias("x")).collect()
+def fit(spark: SparkSession, findings: DataFrame | list[tuple[str, str, str, int]] | None = None, most: int = MOST_FINDINGS) -> Forest:
+    """A forest fitted on labelled findings (left, candidate, right, label): a
+    table, or rows. Of more than `most` of them those with the least hashes are
+    taken. A null left or right is empty; findings without candidate or label are
+    left out; without any findings, or with one label alone, the forest gives the
+    share of label 1. Without a table, findings are made by rule."""
+    if not isinstance(findings, DataFrame):
+        findings = spark.createDataFrame(default_findings() if findings is None else findings, "left string, candidate string, right string, label int")
+    rows = findings.select(F.coalesce("left", F.lit("")).alias("l"), F.col("candidate").alias("c"), F.coalesce("right", F.lit("")).alias("r"), F.col("label").cast("int").alias("y")).filter("length(c) > 0 AND y IS NOT NULL")
+    rows = rows.orderBy(F.xxhash64("l", "c", "r", "y"), "l", "c", "r", "y").limit(most).select("y", F.expr(feature_sql("c", "l", "r")).alias("x")).collect()
+    if not rows:
+        return Forest.fit(np.zeros((1, len(FEATURES))), np.zeros(1), trees=1)
     return Forest.fit(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], dtype=float))
 
 
