@@ -118,6 +118,11 @@ def quantised(a: np.ndarray, most: int) -> np.ndarray:
 # --- sampling and warping --------------------------------------------------
 
 
+def luminance(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In single precision, as frames hold it."""
+    return (LUMINANCE[0] * r + LUMINANCE[1] * g + LUMINANCE[2] * b).astype(np.float32).astype(np.float64)
+
+
 def bilinear(a: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Samples at (y, x); neighbours outside the image are 0."""
     h, w = a.shape

@@ -35,13 +35,17 @@ def _aligner(config: Config) -> dict:
     return {"enhanced": {"upsample": config.upsample}, "centroid": {"threshold": config.centroid_threshold}, "pyramid": {"levels": config.pyramid_levels}}.get(config.align, {})
 
 
+def _points(config: Config) -> dict:
+    return {"ap_size": config.ap_size, "search_radius": config.search_radius, "select": config.select, "min_brightness": config.min_brightness, "metric": config.metric}
+
+
 def stacked(frames: DataFrame, config: Config) -> DataFrame:
     """One row (height, width, pixels) from mono frames, indices from 0.
 
     Multi-point and surface-warp stacks align by phase correlation with frame 0
     and select by themselves; the others align with the best frame.
     """
-    common = {"ap_size": config.ap_size, "search_radius": config.search_radius, "select": config.select, "min_brightness": config.min_brightness, "metric": config.metric}
+    common = _points(config)
     if config.stack == "multi_point":
         return multipoint.multi_point_stack(frames, local=config.local_stack, sigma=config.sigma, iterations=config.iterations, **common)
     if config.stack == "surface_warp":
@@ -62,25 +66,26 @@ def stacked(frames: DataFrame, config: Config) -> DataFrame:
 def stacked_colour(frames: DataFrame, config: Config) -> DataFrame:
     """One row (height, width, r, g, b): scores and offsets by luminance, then
     every channel moved and stacked alike."""
+    if config.stack == "multi_point":
+        return multipoint.multi_point_stack_colour(frames, local=config.local_stack, sigma=config.sigma, iterations=config.iterations, **_points(config))
+    if config.stack == "surface_warp":
+        return multipoint.surface_warp_stack_colour(frames, **_points(config))
     grey = filters.luminance(frames)
     planes = {c: frames.select("frame_index", "height", "width", F.col(c).alias("pixels")) for c in "rgb"}
-    if config.stack in ("multi_point", "surface_warp"):
-        done = {c: stacked(p, config) for c, p in planes.items()}
-    else:
-        chosen, best = _selected(grey, config)
-        reference = chosen.filter(F.col("frame_index") == best).select("pixels")
-        own = F.col("frame_index") == best
-        found = align.offsets(chosen, reference, method=config.align, sign=config.sign, **_aligner(config))
-        found = found.select("frame_index", F.when(own, 0.0).otherwise(F.col("dy")).alias("dy"), F.when(own, 0.0).otherwise(F.col("dx")).alias("dx"))
-        moves = chosen.select("frame_index", "score").join(found, "frame_index").persist()
-        done = {}
-        for c, p in planes.items():
-            p = p.join(moves, "frame_index")
-            if config.stack == "drizzle":
-                done[c] = stack.drizzle_stack(p, scale=config.scale, pixfrac=config.pixfrac, weight="score" if config.quality_weighted else None, sign=config.sign)
-            else:
-                moved = align.shift(p)
-                done[c] = stack.mean_stack(moved) if config.stack == "mean" else stack.robust_stack(moved, config.stack, (), config.sigma, config.iterations)
+    chosen, best = _selected(grey, config)
+    reference = chosen.filter(F.col("frame_index") == best).select("pixels")
+    own = F.col("frame_index") == best
+    found = align.offsets(chosen, reference, method=config.align, sign=config.sign, **_aligner(config))
+    found = found.select("frame_index", F.when(own, 0.0).otherwise(F.col("dy")).alias("dy"), F.when(own, 0.0).otherwise(F.col("dx")).alias("dx"))
+    moves = chosen.select("frame_index", "score").join(found, "frame_index").persist()
+    done = {}
+    for c, p in planes.items():
+        p = p.join(moves, "frame_index")
+        if config.stack == "drizzle":
+            done[c] = stack.drizzle_stack(p, scale=config.scale, pixfrac=config.pixfrac, weight="score" if config.quality_weighted else None, sign=config.sign)
+        else:
+            moved = align.shift(p)
+            done[c] = stack.mean_stack(moved) if config.stack == "mean" else stack.robust_stack(moved, config.stack, (), config.sigma, config.iterations)
     out = None
     for c, one in done.items():  # three rows of one frame each
         one = one.select("height", "width", F.col("pixels").cast("array<float>").alias(c))

@@ -126,6 +126,57 @@ def test_surface_warp(spark, jitter):
     assert np.corrcoef(out.ravel(), jitter[0].ravel())[0, 1] > 0.95
 
 
+@pytest.fixture(scope="module")
+def coloured(jitter):
+    """Channels that move by other steps than the luminance, so that each by itself would be aligned otherwise."""
+    return [(a, np.roll(a, i % 2, 1) * 0.9, np.roll(a, (i + 1) % 3, 0) * 0.5) for i, a in enumerate(jitter)]
+
+
+def colour_frames(spark, triples):
+    rows = [(i, *r.shape, *(x.astype(np.float32).ravel().tolist() for x in (r, g, b))) for i, (r, g, b) in enumerate(triples)]
+    return spark.createDataFrame(rows, "frame_index long, height int, width int, r array<float>, g array<float>, b array<float>")
+
+
+def looped_colour(triples, ap, radius, share, warp):
+    """Frame by frame on the luminance, as the definition has it."""
+    planes = [[x.astype(np.float32).astype(float) for x in t] for t in triples]
+    grey = [K.luminance(*t) for t in planes]
+    offsets = [(0.0, 0.0)] + [K.Aligner(grey[0]).offset(a)[:2] for a in grey[1:]]
+    best = lambda scores, part: sorted(range(len(scores)), key=lambda i: (-scores[i], i))[: max(1, int(np.ceil(len(scores) * part)))]
+    scores = [K.quality(a, "laplacian") for a in grey]
+    known = np.mean([K.warped(grey[i], *offsets[i]).astype(np.float32).astype(float) for i in best(scores, 0.2)], 0).astype(np.float32).astype(float)
+    grid, half = K.ap_grid(known, ap, 0.05), ap // 2
+    if warp:
+        chosen, total = best(scores, share), np.zeros((3, *known.shape))
+        for i in chosen:
+            field = K.shift_field(grid, K.local_shifts(grey[i], known, grid, *offsets[i], ap, radius), *offsets[i], known.shape, ap)
+            total += scores[i] * np.array([K.warped(a, *field) for a in planes[i]])
+        return total / sum(scores[i] for i in chosen)
+    stacks = []
+    for _, cy, cx in grid:
+        own = [K.quality(K.region_shifted(a, cy, cx, half, *o), "laplacian") for a, o in zip(grey, offsets)]
+        patches, weights = [], []
+        for i in best(own, share):
+            y, x, sure = K.phase_offset(K.spectrum(K.region(known, cy, cx, half + radius)), K.region_shifted(grey[i], cy, cx, half + radius, *offsets[i]))
+            if sure >= K.CONFIDENCE_LEAST:
+                patches.append([K.region_shifted(a, cy, cx, half, offsets[i][0] + y, offsets[i][1] + x) for a in planes[i]])
+                weights.append(own[i])
+        three = [K.stacked(np.array([p[c] for p in patches]), "mean", np.array(weights), 2.5, 2) if patches else K.region(known, cy, cx, half) for c in range(3)]
+        stacks.append((cy, cx, three))
+    return [K.blended([(cy, cx, t[c]) for cy, cx, t in stacks], known.shape, ap) for c in range(3)]
+
+
+@pytest.mark.parametrize("made", [multipoint.multi_point_stack_colour, multipoint.surface_warp_stack_colour])
+def test_colour_stacks_follow_the_luminance(spark, coloured, made):
+    warp = made is multipoint.surface_warp_stack_colour
+    row = made(colour_frames(spark, coloured), ap_size=16, search_radius=4, select=0.5).first()
+    for c, want in zip("rgb", looped_colour(coloured, 16, 4, 0.5, warp), strict=True):
+        assert np.allclose(array_of(row, c), want, atol=2e-5), c
+    alone = multipoint.surface_warp_stack if warp else multipoint.multi_point_stack
+    by_itself = array_of(alone(frames_of(spark, [t[2] for t in coloured]), ap_size=16, search_radius=4, select=0.5).first())
+    assert np.abs(by_itself - array_of(row, "b")).max() > 0.02
+
+
 @pytest.mark.parametrize("made", [multipoint.multi_point_stack, multipoint.surface_warp_stack])
 def test_captures_are_stacked_each_by_itself(spark, jitter, made):
     turned = [np.ascontiguousarray(a.T)[::-1] for a in jitter[2:]]

@@ -157,7 +157,7 @@ def test_runs(spark, tmp_path, method):
     assert out.shape == (side, side, 1) and out[side // 2, side // 2, 0] > out[side // 8, side // 8, 0] + 0.2
 
 
-@pytest.mark.parametrize("method", ["mean", "drizzle", "surface_warp"])
+@pytest.mark.parametrize("method", ["mean", "drizzle", "multi_point", "surface_warp"])
 def test_colour_runs(spark, tmp_path, method):
     path, _ = write(tmp_path / "a.ser", jitter(6), colour=8)
     c = C.Config(input=path, output=str(tmp_path / "o.tiff"), stack=method, ap_size=16, search_radius=4, select=0.5)
