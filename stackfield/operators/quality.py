@@ -39,11 +39,10 @@ def share_kept(n, share: float, least: int = 1):
 
 def select_fraction(scores: DataFrame, share: float = 0.25, keys: tuple[str, ...] = (), least: int = 1) -> DataFrame:
     """The best share of each group of keys, with rank. least=0 with a share
-    within [0, 1] may select none. The counts are joined on, not collected."""
-    ranked = rank_frames(scores, keys)
-    counts = scores.groupBy(*keys).agg(F.count("*").alias("__n"))
-    joined = ranked.join(counts, list(keys)) if keys else ranked.crossJoin(F.broadcast(counts))  # counts has one row
-    return joined.filter(F.col("rank") <= share_kept(F.col("__n"), share, least)).drop("__n")
+    within [0, 1] may select none. Ranks and counts are windows over one exchange,
+    so scores are made once."""
+    counted = rank_frames(scores, keys).withColumn("__n", F.count("*").over(Window.partitionBy(*(keys or (F.lit(0),)))))
+    return counted.filter(F.col("rank") <= share_kept(F.col("__n"), share, least)).drop("__n")
 
 
 def top_n(scores: DataFrame, n: int = 20) -> DataFrame:
