@@ -78,9 +78,13 @@ def summed(frames: DataFrame, keys: tuple[str, ...], parts, names: tuple[str, ..
 
 
 def _joined(tiles: DataFrame, keys: tuple[str, ...], names: tuple[str, ...], *more) -> DataFrame:
-    """The tiles of each frame put together in their order."""
-    whole = tiles.groupBy(*keys, "height", "width").agg(F.array_sort(F.collect_list(F.struct("tile", *names))).alias("t"), *more)
-    return whole.select(*keys, "height", "width", *(F.flatten(F.col("t")[n]).alias(n) for n in names), *([F.col("n")] if more else []))
+    """The tiles of each capture put together in their order; frames of a capture
+    that differ in size are an error, and no frames are no row."""
+    ends = [e(c).alias(f"__{e.__name__}_{c}") for c in ("height", "width") for e in (F.min, F.max)]
+    whole = tiles.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("tile", *names))).alias("t"), *ends, *more).filter(F.col("__max_height").isNotNull())
+    alike = (F.col("__min_height") == F.col("__max_height")) & (F.col("__min_width") == F.col("__max_width"))
+    sizes = [F.when(alike, F.col(f"__max_{c}")).otherwise(F.raise_error(F.lit("frames of a capture differ in size"))).cast("int").alias(c) for c in ("height", "width")]
+    return whole.select(*keys, *sizes, *(F.flatten(F.col("t")[n]).alias(n) for n in names), *([F.col("n")] if more else []))
 
 
 def mean_stack(frames: DataFrame, keys: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
@@ -112,7 +116,7 @@ def drizzle_stack(frames: DataFrame, keys: tuple[str, ...] = (), scale: float =
 
 
 def tile_size(frames_per_capture: int) -> int:
-    return int(min(TILE, max(64, HELD // max(1, frames_per_capture))))
+    return int(min(TILE, max(1, HELD // max(1, frames_per_capture))))
 
 
 def robust_stack(frames: DataFrame, method: str = "median", keys: tuple[str, ...] = (), sigma: float = 2.5, iterations: int = 2, tile: int | None = None) -> DataFrame:
