@@ -1,6 +1,6 @@
 """Kernels over frames: each row's pixels become an array, and what the kernel
-returns becomes columns. Rows cross to Python in small Arrow batches, as a frame
-can be large."""
+returns becomes columns. Rows cross to Python in Arrow batches that Spark bounds
+in bytes (spark.sql.execution.arrow.maxBytesPerBatch), as a frame can be large."""
 
 from __future__ import annotations
 
@@ -14,15 +14,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .shipping import ship
 
-#: Values of the frames of one Arrow batch, about.
-BATCH_VALUES = 4_000_000
-_RULES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-
-def batched(df: DataFrame, values_per_row: int | None = None) -> DataFrame:
-    """Sets how many rows an Arrow batch has: for frames of unknown size 16."""
+def batched(df: DataFrame) -> DataFrame:
+    """df, once the executors have this package."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set(_RULES, str(min(1000, max(1, BATCH_VALUES // values_per_row))) if values_per_row else "16")
     return df
 
 
@@ -37,13 +32,22 @@ def images(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
         yield image(x.values.to_numpy(zero_copy_only=False), h, w)
 
 
+def arguments(batch: pa.RecordBatch, name: str) -> list | Iterator[np.ndarray]:
+    """The values of a column: arrays of floats as numpy arrays, others as they are in Python."""
+    column = batch.column(name)
+    if pa.types.is_list(column.type) and pa.types.is_floating(column.type.value_type) and not column.null_count:
+        return (x.values.to_numpy(zero_copy_only=False) for x in column)
+    return column.to_pylist()
+
+
 def as_value(x):
     return x.astype(np.float32).ravel() if isinstance(x, np.ndarray) else x
 
 
 def map_frames(frames: DataFrame, kernel: Callable, out: dict[str, str], pixels: tuple[str, ...] = ("pixels",), args: tuple[str, ...] = (), drop: tuple[str, ...] = ()) -> DataFrame:
     """kernel(*images, *args) gives the values of the columns out, one value or a
-    tuple; arrays become array<float>. args are columns. Columns of out take the
+    tuple; arrays become array<float>. args are columns, of which arrays of
+    floats arrive as numpy arrays. Columns of out take the
     place of those of the same name; drop leaves columns out."""
     keep = [f for f in frames.schema if f.name not in out and f.name not in drop]
     made = [T.StructField(n, T._parse_datatype_string(t)) for n, t in out.items()]
@@ -52,7 +56,7 @@ def map_frames(frames: DataFrame, kernel: Callable, out: dict[str, str], pixels:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = list(map(kernel, *(images(b, p) for p in pixels), *(b.column(a).to_pylist() for a in args))) if pixels else list(map(kernel, *(b.column(a).to_pylist() for a in args)))
+            rows = list(map(kernel, *(images(b, p) for p in pixels), *(arguments(b, a) for a in args)))
             rows = rows if several else [(x,) for x in rows]
             cols = [pa.array([as_value(r[i]) for r in rows], t) for i, t in enumerate(types)]
             yield pa.record_batch([*(b.column(f.name) for f in keep), *cols], names=[*(f.name for f in keep), *out])

@@ -106,10 +106,6 @@ def unsharp_mask(a: np.ndarray, radius: float, amount: float, threshold: float)
     return np.where(np.abs(d) > threshold, np.clip(a + d * amount, 0, 1), a)
 
 
-def luminance(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return LUMINANCE[0] * r + LUMINANCE[1] * g + LUMINANCE[2] * b
-
-
 def quantised(a: np.ndarray, most: int) -> np.ndarray:
     """0 to most, cut off and not rounded."""
     return np.floor(np.clip(a, 0, 1).astype(np.float32) * np.float32(most)).astype(np.uint16 if most > 255 else np.uint8)
