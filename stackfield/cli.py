@@ -32,7 +32,7 @@ def _stack_options(p: argparse.ArgumentParser, method: str) -> None:
     p.add_argument("--metric", default="laplacian", choices=["laplacian", "gradient"])
     p.add_argument("--sigma", type=float, default=2.5)
     p.add_argument("--iterations", type=int, default=2)
-    p.add_argument("--ap-size", type=int, default=64)
+    p.add_argument("--ap-size", type=int, default=64, help="side of an alignment point; 0: from the detected object")
     p.add_argument("--search-radius", type=int, default=16)
     p.add_argument("--min-brightness", type=float, default=0.05)
     p.add_argument("--scale", type=float, default=2.0)

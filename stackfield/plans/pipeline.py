@@ -6,12 +6,15 @@ by index and fetched once more. A run's result is one frame.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import EmptySequence
-from ..operators import align, filters, multipoint, quality, stack
+from ..functions import kernels as K
+from ..operators import align, detect, filters, multipoint, quality, stack
 from ..sources import images, ser
 from .config import Config
 
@@ -39,13 +42,27 @@ def _points(config: Config) -> dict:
     return {"ap_size": config.ap_size, "search_radius": config.search_radius, "select": config.select, "min_brightness": config.min_brightness, "metric": config.metric}
 
 
+def sized(frames: DataFrame, config: Config) -> Config:
+    """config with a size of alignment points: 0 becomes one that suits the object
+    detected in frame 0, or without one the frame's shorter side."""
+    if config.ap_size or config.stack not in ("multi_point", "surface_warp"):
+        return config
+    first = frames.filter(F.col("frame_index") == 0).select("frame_index", "height", "width", "pixels")
+    row = detect.detections(first).first()
+    if row is None:
+        raise EmptySequence("there is no frame 0")
+    found = row["detection"]
+    across = max(found["bbox_width"], found["bbox_height"]) if found else min(row["height"], row["width"])
+    return replace(config, ap_size=K.auto_ap_size(across))
+
+
 def stacked(frames: DataFrame, config: Config) -> DataFrame:
     """One row (height, width, pixels) from mono frames, indices from 0.
 
     Multi-point and surface-warp stacks align by phase correlation with frame 0
     and select by themselves; the others align with the best frame.
     """
-    common = _points(config)
+    common = _points(sized(frames, config))
     if config.stack == "multi_point":
         return multipoint.multi_point_stack(frames, local=config.local_stack, sigma=config.sigma, iterations=config.iterations, **common)
     if config.stack == "surface_warp":
@@ -66,11 +83,12 @@ def stacked(frames: DataFrame, config: Config) -> DataFrame:
 def stacked_colour(frames: DataFrame, config: Config) -> DataFrame:
     """One row (height, width, r, g, b): scores and offsets by luminance, then
     every channel moved and stacked alike."""
+    grey = filters.luminance(frames)
+    config = sized(grey, config)
     if config.stack == "multi_point":
         return multipoint.multi_point_stack_colour(frames, local=config.local_stack, sigma=config.sigma, iterations=config.iterations, **_points(config))
     if config.stack == "surface_warp":
         return multipoint.surface_warp_stack_colour(frames, **_points(config))
-    grey = filters.luminance(frames)
     planes = {c: frames.select("frame_index", "height", "width", F.col(c).alias("pixels")) for c in "rgb"}
     chosen, best = _selected(grey, config)
     reference = chosen.filter(F.col("frame_index") == best).select("pixels")
