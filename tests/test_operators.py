@@ -47,6 +47,19 @@ def test_ranks_break_ties_by_index(spark):
     assert quality.select_fraction(s.limit(0), 0.5).count() == 0
 
 
+def test_frames_of_a_capture_have_one_size(spark):
+    mixed = frames_of(spark, [np.ones((4, 4))]).unionByName(frames_of(spark, [np.ones((4, 6))]))
+    for out in (stack.mean_stack(mixed), stack.robust_stack(mixed), stack.drizzle_stack(mixed.withColumns({"dy": F.lit(0.0), "dx": F.lit(0.0)}))):
+        with pytest.raises(Exception, match="differ in size"):
+            out.collect()
+    assert stack.mean_stack(mixed.limit(0)).count() == 0 and stack.robust_stack(mixed.limit(0)).count() == 0
+    assert len(stack.mean_stack(mixed.withColumn("side", F.col("width")), ("side",)).collect()) == 2
+
+
+def test_tiles_shrink_to_one_pixel():
+    assert [stack.tile_size(n) for n in (0, 1000, 10**6, 10**9)] == [65_536, 8000, 8, 1]
+
+
 def test_selection_counts_in_single_precision(spark):
     s = spark.range(100).select(F.col("id").alias("frame_index"), F.rand(1).alias("score"))
     assert quality.select_fraction(s, 0.07).count() == 7
@@ -261,6 +274,10 @@ def test_sql_functions(spark):
     frames_of(spark, a).createOrReplaceTempView("captured")
     rows = spark.sql("SELECT laplacian_variance(pixels, height, width) l, gradient_score(pixels, height, width) g, phase_offset(pixels, pixels, height, width).dy dy FROM captured ORDER BY frame_index").collect()
     assert np.allclose([r["l"] for r in rows], [K.laplacian_variance(x) for x in a]) and rows[0]["dy"] == 0
+    made = {"histogram_stretch(p, 0.1, 0.8)": K.stretch(a[0], 0.1, 0.8), "gamma_image(p, 2.2)": K.gamma(a[0], 2.2), "brightness_contrast(p, 0.1, 1.5)": K.brightness_contrast(a[0], 0.1, 1.5), "gaussian_blur(p, 1.0)": K.gaussian_blur(a[0], 1.0), "unsharp_mask(p, 1.5, 0.8, 0.05)": K.unsharp_mask(a[0].astype(np.float64), 1.5, 0.8, 0.05)}
+    calls = ", ".join(f"{c.replace('(p', '(pixels, height, width')} c{i}" for i, c in enumerate(made))
+    row = spark.sql(f"SELECT {calls}, image_centroid(pixels, height, width, 0.1) m FROM captured WHERE frame_index = 0").first()
+    assert all(np.allclose(row[i], want.ravel(), atol=1e-6) for i, want in enumerate(made.values())) and np.allclose(row["m"], K.centroid(a[0].astype(np.float64)))
 
 
 def test_live_mean(spark, tmp_path):

@@ -157,6 +157,13 @@ def test_runs(spark, tmp_path, method):
     assert out.shape == (side, side, 1) and out[side // 2, side // 2, 0] > out[side // 8, side // 8, 0] + 0.2
 
 
+def test_points_are_sized_by_the_object(spark, tmp_path):
+    path, _ = write(tmp_path / "a.ser", jitter())
+    frames = ser.read_ser(spark, path)
+    chosen = pipeline.sized(frames, C.Config(input=path, stack="multi_point", ap_size=0))
+    assert chosen.ap_size == 32 and pipeline.sized(frames, C.Config(input=path, stack="multi_point", ap_size=24)).ap_size == 24
+
+
 @pytest.mark.parametrize("method", ["mean", "drizzle", "multi_point", "surface_warp"])
 def test_colour_runs(spark, tmp_path, method):
     path, _ = write(tmp_path / "a.ser", jitter(6), colour=8)
