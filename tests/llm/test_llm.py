@@ -619,6 +619,33 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in pieces.collect()} == set(after)
 
 
+def test_pipeline_of_odd_rows(spark):
+    """Nulls, empty and long texts and a row without id pass all stages; of the
+    repeated row one stays; a column that stages use inside stays out of the way."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    odd = docs_of(spark, [(i if i is None else 10**9 + i, t) for i, t in ODD]).withColumn("n_chars", F.lit(7).cast("long"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(odd, allowMissingColumns=True)
+    want = Counter((i and 10**9 + i, t) for i, t in ODD)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf).persist()
+        if name == "near duplicates":
+            want[10**9 + 107, "same row"] = 1
+        assert Counter((r["doc_id"], r["text"]) for r in docs.filter("doc_id IS NULL OR doc_id >= 1000000000").collect()) == want, name
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf).filter("doc_id IS NULL OR doc_id >= 1000000000").collect()
+    assert {r["doc_id"] for r in pieces} == {i for i, _ in want} and len(pieces) >= len(want)
+
+
+def test_pipeline_of_an_empty_table(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf).count() == 0, name
+
+
 #: Forms that the rule for findings does not make, each with one secret, and forms without any.
 SECRET_FORMS = ["aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", 'password = "hunter2!Xk"', "see https://bob:s3cr3tPw9@db.example.com/x", "DB: postgres://admin:Passw0rd77@localhost:5432/app now",
 "auth eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4gRG9lIn0.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c ok",
